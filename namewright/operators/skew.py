@@ -17,30 +17,43 @@ from namewright.session import cut
 
 #: A key with this share of the rows is heavy; there are at most 1/HEAVY of them.
 HEAVY = 1 / 4096
+#: Groups in which sketches are merged.
+SKETCHES = 32
 #: Fewer rows than this never make a key heavy: one task takes them easily.
 FLOOR = 20_000
 
 
 def heavy_values(df: DataFrame, column: str, share: float = HEAVY, floor: int = FLOOR) -> list:
-    """Values of a column that hold at least about share of the rows, for routing only.
-
-    One scan with a mergeable frequent-items sketch of fixed size. Its estimate
-    is off by less than a fourth of the share, so that a value just below may be
-    listed and one just above may not: results never depend on the list, only
-    the balance of the tasks. Nulls are no values. At most 1/share values, most
-    frequent first. An empty table gives an empty list.
+    """Values of a column of whole numbers that hold at least about share of the rows, for routing only.
+
+    One scan with mergeable frequent-items sketches of fixed size, which are
+    merged in groups first, so that no task reads one from every other. The
+    estimate is off by less than half the share: a value just below it may be
+    listed and one just above may not. Results never depend on the list, only
+    the balance of the tasks. Nulls are no values. At most about 1/share values,
+    most frequent first. An empty table gives an empty list.
     """
-    tracked = min(1 << 20, max(64, 1 << (int(16 / share) - 1).bit_length()))
-    top = min(tracked, int(1 / share) + 1)
-    row = df.agg(F.count(F.col(column)).alias("n"), F.expr(f"approx_top_k(`{column}`, {top}, {tracked})").alias("top")).first()
-    least = max(row.n * share, floor)
+    tracked = min(1 << 20, max(64, 1 << (int(8 / share) - 1).bit_length()))
+    sketches = (
+        df.select(F.col(column).alias("v"), (F.spark_partition_id() % SKETCHES).alias("part"))
+        .filter("v IS NOT NULL")
+        .groupBy("part")
+        .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k_accumulate(v, {tracked})").alias("sketch"))
+    )
+    row = sketches.agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {min(tracked, int(1 / share) + 1)})").alias("top")).first()
+    least = max((row.n or 0) * share, floor)
     return [x["item"] for x in row.top or [] if x["count"] >= least]
 
 
-def heavy_guids(df: DataFrame, column: str, share: float = HEAVY, floor: int = FLOOR) -> list[bytes]:
-    """heavy_values() of a column of bytes, which the sketch takes only as text."""
-    found = heavy_values(df.select(F.hex(F.col(column)).alias("_v")), "_v", share, floor)
-    return [bytes.fromhex(x) for x in found]
+def heavy_hashes(df: DataFrame, column: str, share: float = HEAVY, floor: int = FLOOR) -> list[int]:
+    """Hashes of the heavy values of a column of any type, for is_heavy()."""
+    hashed = F.when(F.col(column).isNotNull(), F.xxhash64(F.col(column)))
+    return heavy_values(df.select(hashed.alias("h")), "h", share, floor)
+
+
+def is_heavy(column: Column, hashes: list[int]) -> Column:
+    """True where the value's hash is listed; two values with one hash are merely routed alike."""
+    return F.xxhash64(column).isin(hashes) & column.isNotNull() if hashes else F.lit(False)
 
 
 def is_any(column: Column, values: list) -> Column:
@@ -48,18 +61,25 @@ def is_any(column: Column, values: list) -> Column:
     return F.coalesce(column.isin(values), F.lit(False)) if values else F.lit(False)
 
 
-def with_totals(df: DataFrame, key: str, totals: dict[str, Column], heavy: list) -> DataFrame:
+def once(column: Column) -> Column:
+    """The column, computed in the projection where it stands and not again in every filter after it."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
+def with_totals(df: DataFrame, key: str, totals: dict[str, Column], heavy: list[int]) -> DataFrame:
     """df with per-key aggregates as more columns; rows with a null key are dropped.
 
+    heavy: what heavy_hashes() lists for the key.
+
     Keys that are not heavy: one shuffle by key and a window, which spills. Heavy
     keys: partial aggregation and a broadcast of at most len(heavy) rows, so that
     their rows stay where they are.
     """
-    light = df.filter(F.col(key).isNotNull() & ~is_any(F.col(key), heavy))
+    light = df.filter(F.col(key).isNotNull() & ~is_heavy(F.col(key), heavy))
     window = Window.partitionBy(key)
     out = light.select("*", *[c.over(window).alias(n) for n, c in totals.items()])
     if heavy:
-        dense = df.filter(is_any(F.col(key), heavy))
+        dense = df.filter(is_heavy(F.col(key), heavy))
         per_key = dense.groupBy(key).agg(*[c.alias(n) for n, c in totals.items()])
         out = out.unionByName(dense.join(F.broadcast(per_key), key).select(out.columns))
     return out
