@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from namewright.functions.arrow import changes, codes, whole_groups
-from namewright.operators.skew import heavy_guids, is_any, with_totals
+from namewright.operators.skew import heavy_hashes, is_heavy, with_totals
 
 ITERATIONS = 25
 
@@ -108,11 +108,11 @@ def distinctive_terms(df: DataFrame, record: str, term: str, place: str, total:
     kind = base.schema["term"].dataType
     columns = ["term", "record", "occurrences", "spread", "elite", "weight"]
     schema = T.StructType([T.StructField("term", kind), *[T.StructField(c, T.LongType()) for c in columns[1:4]], *[T.StructField(c, T.DoubleType()) for c in columns[4:]]])
-    heavy = heavy_guids(base, "term")
-    light = base.filter(~is_any(F.col("term"), heavy)).repartition("term").sortWithinPartitions("term", "record", "place").mapInArrow(_scored(pa.binary(), total), schema)
+    heavy = heavy_hashes(base, "term")
+    light = base.filter(~is_heavy(F.col("term"), heavy)).repartition("term").sortWithinPartitions("term", "record", "place").mapInArrow(_scored(pa.binary(), total), schema)
     if not heavy:
         return light.select("record", "term", "occurrences", "spread", "elite", "weight")
-    held = base.filter(is_any(F.col("term"), heavy)).distinct().groupBy("term", "record").agg(F.count(F.lit(1)).alias("occurrences"))
+    held = base.filter(is_heavy(F.col("term"), heavy)).distinct().groupBy("term", "record").agg(F.count(F.lit(1)).alias("occurrences"))
     cells = held.groupBy("term", "occurrences").agg(F.count(F.lit(1)).alias("records"))
 
     def fit(cells: pd.DataFrame) -> pd.DataFrame:
@@ -131,12 +131,12 @@ def distinctive_terms(df: DataFrame, record: str, term: str, place: str, total:
     return light.unionByName(dense.select(*columns)).select("record", "term", "occurrences", "spread", "elite", "weight")
 
 
-def most_distinctive(scores: DataFrame, least_terms: int, least_spread: int = 2, heavy: list | None = None) -> DataFrame:
+def most_distinctive(scores: DataFrame, least_terms: int, least_spread: int = 2, heavy: list[int] | None = None) -> DataFrame:
     """The terms of greatest weight of every record with enough terms; ties are all kept.
 
     Result: record, term, weight. All terms of a record count towards
     least_terms, but only those of at least least_spread records can be chosen.
-    heavy: records with a large share of all rows, as heavy_values() lists them;
+    heavy: records with a large share of all rows, as heavy_hashes() lists them;
     their rows are not brought together.
     """
     fits = F.col("spread") >= least_spread

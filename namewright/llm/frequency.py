@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from namewright.functions.arrow import changes, codes
-from namewright.operators.skew import heavy_guids, is_any
+from namewright.operators.skew import heavy_hashes, is_heavy
 
 
 class _Level:
@@ -138,14 +138,11 @@ def term_counts(df: DataFrame, record: str, term: str, place: str, max_len: int
     def counted(rows: DataFrame, *route) -> DataFrame:
         return rows.repartition(*route).sortWithinPartitions(*by).mapInArrow(passes, spark_schema)
 
-    if isinstance(kind, T.BinaryType):
-        heavy = heavy_guids(base, "t1")
-    else:
-        heavy = [x.decode() for x in heavy_guids(base.withColumn("t1", F.encode("t1", "utf-8")), "t1")]
-    light = counted(base.filter(~is_any(F.col("t1"), heavy)), "t1")
+    heavy = heavy_hashes(base, "t1")
+    light = counted(base.filter(~is_heavy(F.col("t1"), heavy)), "t1")
     if not heavy:
         return light
-    spread = counted(base.filter(is_any(F.col("t1"), heavy)), "t1", F.xxhash64("record"))
+    spread = counted(base.filter(is_heavy(F.col("t1"), heavy)), "t1", F.xxhash64("record"))
     return light.unionByName(spread.groupBy(*names).agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")))
 
 

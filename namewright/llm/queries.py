@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from namewright.functions.guid import guid_bytes, guid_hex
 from namewright.llm import distinctive, frequency, heavy, similar
-from namewright.operators.skew import heavy_values
+from namewright.operators.skew import heavy_hashes, once
 
 #: Least size of a function's set in p2_found and p3_found.
 LEAST = 5
@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "function_constraints").select("function_id", guid_bytes(F.col("guid")).alias("g"), "off")
+    return _table(spark, sf_dir, "function_constraints").select("function_id", once(guid_bytes(F.col("guid"))).alias("g"), "off")
 
 
 def _functions(spark: SparkSession, sf_dir: str) -> int:
@@ -31,7 +31,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = similar.similar_sets(_constraints(spark, sf_dir), "function_id", "g", threshold=0.6, least=LEAST)
     bodies = (
         _table(spark, sf_dir, "analyzed_functions")
-        .select(F.col("function_id").alias("id"), guid_bytes(F.col("guid")).alias("body"))
+        .select(F.col("function_id").alias("id"), once(guid_bytes(F.col("guid"))).alias("body"))
         .filter("id IS NOT NULL AND body IS NOT NULL")
         .groupBy("id")
         .agg(F.min("body").alias("body"))
@@ -69,7 +69,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The constraints of greatest weight of every function with at least five."""
-    hot = heavy_values(_table(spark, sf_dir, "function_constraints").select("function_id"), "function_id")
+    hot = heavy_hashes(_table(spark, sf_dir, "function_constraints").select("function_id"), "function_id")
     best = distinctive.most_distinctive(_scores(spark, sf_dir), LEAST, heavy=hot)
     return best.select(F.col("record").alias("function_id"), guid_hex(F.col("term")).alias("guid"))
 
@@ -104,7 +104,7 @@ def p4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _guids(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return _table(spark, sf_dir, table).select(guid_bytes(F.col("guid")).alias("g"))
+    return _table(spark, sf_dir, table).select(once(guid_bytes(F.col("guid"))).alias("g"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
