@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namewright.functions.guid import guid_bytes, guid_hex
-from namewright.llm import distinctive, frequency, heavy, similar
+from namewright.llm import distinctive, frequency, heavy, leakage, mixing, similar, tokens, truncation
 from namewright.operators.skew import heavy_hashes, once
 
 #: Least size of a function's set in p2_found and p3_found.
@@ -125,6 +125,60 @@ def p5_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that contain at least twelve consecutive words of an item."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and the largest part of an item found in one page, for every leaked item."""
+    found = _leaks(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("pages"), F.max(F.col("shared") / F.col("runs")).alias("part"))
+    return found.select("item_id", "pages", F.round("part", 6).alias("part"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    docs = tokens.with_tokens(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
+    return mixing.mix_sources(docs.withColumnRenamed("doc_id", "id"), _table(spark, sf_dir, "source_targets"), seed=7)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that cannot reach their share even at the allowed repeats."""
+    return _mix(spark, sf_dir).plan.filter("short").select("source")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every listed source."""
+    return _mix(spark, sf_dir).report().select("source", "target_share", "tokens", "mixed", F.round("reached_share", 6).alias("reached_share"), "short")
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of the mix and how often each is used."""
+    return _mix(spark, sf_dir).chosen.select(F.col("id").alias("doc_id"), "source", "repeats", "tokens")
+
+
+def _cut(spark: SparkSession, sf_dir: str) -> truncation.Truncation:
+    return truncation.find_truncated(_table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose text was cut."""
+    return _cut(spark, sf_dir).cut.select(F.col("id").alias("doc_id"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, cut pages and their share by source."""
+    return _cut(spark, sf_dir).rates.select("source", "texts", "cut", F.round("rate", 6).alias("rate"))
+
+
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths at which significantly many texts of a source end."""
+    return _cut(spark, sf_dir).limits.select("source", "unit", "length", "texts", "at_risk", F.round("expected", 6).alias("expected"))
+
+
 _HEX = "lower(regexp_replace(guid, '[^0-9A-Fa-f]', '', 'g'))"
 _OCC = f"""
 occ AS (SELECT DISTINCT function_id, {_HEX} AS guid, off FROM function_constraints
@@ -182,7 +236,21 @@ SQL = {
     },
 }
 
+_P6 = r"""
+WITH w AS (
+  SELECT 0 AS kind, doc_id AS id, regexp_extract_all(lower(regexp_replace(text, '[\x{AD}\x{200B}\x{FEFF}]', '', 'g')), '[\p{L}\p{N}]+') AS words FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(lower(regexp_replace(text, '[\x{AD}\x{200B}\x{FEFF}]', '', 'g')), '[\p{L}\p{N}]+') FROM eval_items WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT kind, id, unnest([array_to_string(words[i : i + 11], ' ') FOR i IN range(1, len(words) - 10)]) AS gram FROM w WHERE len(words) >= 12),
+pairs AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared FROM g d JOIN g i ON d.gram = i.gram AND d.kind = 0 AND i.kind = 1 GROUP BY ALL)
+"""
+SQL |= {
+    "p6_found": f"{_P6} SELECT doc_id, item_id FROM pairs",
+    "p6_items": f"""{_P6} SELECT item_id, count(DISTINCT doc_id) AS pages, round(max(shared / runs), 6) AS part FROM pairs
+        JOIN (SELECT id AS item_id, count(*) AS runs FROM g WHERE kind = 1 GROUP BY ALL) USING (item_id) GROUP BY item_id""",
+}
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_links, p3_found, p3_scores, p4_found, p4_counts, p4_runs, p5_found, p5_top)
+    for f in (p2_found, p2_links, p3_found, p3_scores, p4_found, p4_counts, p4_runs, p5_found, p5_top, p6_found, p6_items, p7_found, p7_shares, p7_mix, p8_found, p8_rates, p8_limits)
 }
