@@ -96,7 +96,7 @@ def guid_bytes(text: Column) -> Column:
     result is null. Null and the nil GUID give null: they are never counted.
     Plain 32-digit text, nearly all there is, skips the regular expressions.
     """
-    grouped = r"([0-9A-Fa-f]{8})[^0-9A-Fa-f]?([0-9A-Fa-f]{4})[^0-9A-Fa-f]?([0-9A-Fa-f]{4})[^0-9A-Fa-f]?([0-9A-Fa-f]{4})[^0-9A-Fa-f]?([0-9A-Fa-f]{12})"
+    grouped = "(?<![0-9A-Fa-f])" + "[^0-9A-Fa-f]?".join(f"[0-9A-Fa-f]{{{n}}}" for n in (8, 4, 4, 4, 12)) + "(?![0-9A-Fa-f])"
     stripped = F.regexp_replace(text, "[^0-9A-Fa-f]", "")
     digits = F.when(F.length(text) == 32, text).when(F.length(stripped) == 32, stripped).otherwise(
         F.regexp_replace(F.regexp_extract(text, grouped, 0), "[^0-9A-Fa-f]", "")

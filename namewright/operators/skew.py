@@ -40,9 +40,9 @@ def heavy_values(df: DataFrame, column: str, share: float = HEAVY, floor: int =
         .groupBy("part")
         .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k_accumulate(v, {tracked})").alias("sketch"))
     )
-    row = sketches.agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {min(tracked, int(1 / share) + 1)})").alias("top")).first()
-    least = max((row.n or 0) * share, floor)
-    return [x["item"] for x in row.top or [] if x["count"] >= least]
+    # Grouped by a constant: without rows there is no group, where the sketch of nothing would fail.
+    row = sketches.groupBy(F.lit(0).alias("all")).agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {min(tracked, int(1 / share) + 1)})").alias("top")).first()
+    return [x["item"] for x in row.top if x["count"] >= max(row.n * share, floor)] if row else []
 
 
 def heavy_hashes(df: DataFrame, column: str, share: float = HEAVY, floor: int = FLOOR) -> list[int]:

@@ -1 +1,25 @@
-"""streaming."""
+"""Naming functions as they arrive.
+
+The reference behaviour is batch only; this applies it to each micro-batch of a
+stream of functions, so that new binaries are named against a fixed database.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from namewright.functions.guid import NIL
+from namewright.operators.database import summarised
+
+
+def name_stream(functions: DataFrame, db: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Names by GUID alone for a stream of functions(binary_id, address, guid), appended as Parquet.
+
+    A stream-static join on the GUIDs with one name: stateless, so late rows need
+    no watermark and a restart goes on from the checkpoint.
+    """
+    single = summarised(db.filter(F.col("constraint_guid") == NIL)).filter("n = 1").select(F.col("function_guid").alias("guid"), F.col("only_symbol").alias("symbol_name"))
+    named = functions.join(single, "guid").select("binary_id", "address", "guid", "symbol_name")
+    return named.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
