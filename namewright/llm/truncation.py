@@ -29,7 +29,11 @@ WORDS = 3
 MARK = r"(\s*(\[\s*(…|\.\.\.)\s*\]|\(\s*(…|\.\.\.)\s*\)|…|\.\.\.+|вЂ¦|â€¦|â\x80¦|�))+$"
 STOP = r"[.!?。！？؟।][\"'”’»)\]]*$"
 FRAME = r"\||^.{0,2}©"
-MENU = r"[•·>]|( [-–] .*){2}|(\S {2,}.*){2}"
+MENU = r"[•·>]|( [-–] .*){2}|\S {2,}+\S.* {2}"
+#: Characters at the end of a line in which a mark or an end of a sentence is looked for.
+TAIL = 80
+# No pattern here goes back over what it has read more than once a line, however long the line.
+HOST = r"(?<!\S)\S*\.[a-z]{2}\S*"
 
 
 @dataclass
@@ -83,9 +87,9 @@ def _lengths(text: Column) -> dict[str, Column]:
 
 def _broken(headers: Column, body: Column) -> Column:
     """Whether a received body ends early: a page that never closes, or less than the length declared for it."""
-    page = F.decode(body, "ISO-8859-1")
-    opened = F.contains(F.lower(F.substring(page, 1, 2048)), F.lit("<html"))
-    closed = F.contains(F.lower(F.substring(page, -64, 64)), F.lit("</html"))
+    latin = lambda c: F.decode(c, "ISO-8859-1")
+    opened = F.contains(F.lower(latin(F.substring(body, 1, 2048))), F.lit("<html"))
+    closed = F.contains(F.lower(latin(F.substring(body, -64, 64))), F.lit("</html"))
     declared = F.expr("try_cast(regexp_extract(_headers, '(?im)^content-length:[ \\\\t]*([0-9]+)', 1) AS BIGINT)")
     plain = ~F.coalesce(F.lower(headers).contains("content-encoding"), F.lit(False))
     return F.coalesce((opened & ~closed) | (plain & (declared > F.octet_length(body))), F.lit(False))
@@ -122,8 +126,10 @@ def find_truncated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", s
     limits = length_limits(sizes)
 
     blank = F.lit(" \n\r\t ")
-    end = F.rtrim(F.regexp_replace(F.rtrim(F.substring_index(F.rtrim(t, blank), "\n", -1), blank), MARK, ""), blank)
-    shape = F.xxhash64(F.regexp_replace(F.regexp_replace(F.col("_end"), r"\S+\.[a-z]{2,}", "H"), "[0-9]+", "9"))
+    line = F.rtrim(F.substring_index(F.rtrim(t, blank), "\n", -1), blank)
+    mark = F.length(F.regexp_extract(F.right(line, F.lit(TAIL)), MARK, 0))
+    end = F.rtrim(F.substring(line, F.lit(1), F.length(line) - mark), blank)
+    shape = F.xxhash64(F.regexp_replace(F.regexp_replace(F.col("_end"), HOST, "H"), "[0-9]+", "9"))
     lines = base.filter(F.trim(t) != "").select(end.alias("_end")).select(shape.alias("_shape")).groupBy("_shape").agg(F.count(F.lit(1)).alias("_n"))
     everything = docs.count()
     # More than OFTEN of all texts each: at most 1/OFTEN rows.
@@ -133,7 +139,7 @@ def find_truncated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", s
     ended = (
         base.withColumn("_end", end)
         .withColumn("_shape", shape)
-        .filter((F.col("_end") != "") & ~F.rlike(F.col("_end"), F.lit(STOP)))
+        .filter((F.col("_end") != "") & ~F.rlike(F.right("_end", F.lit(TAIL)), F.lit(STOP)))
         .join(frame, "_shape", "left")
         .join(F.broadcast(near), "source", "left")
     )
