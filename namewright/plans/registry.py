@@ -472,6 +472,8 @@ bodies AS (SELECT binary_id, address, min({_HEX}) AS guid FROM analyzed_function
 rec AS (SELECT DISTINCT binary_id, address, {_HEX} AS cg FROM function_constraints WHERE guid IS NOT NULL AND {_HEX} <> repeat('0', 32))
 """
 
+_DASHED = "(substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-' || substr({0}, 13, 4) || '-' || substr({0}, 17, 4) || '-' || substr({0}, 21, 12))"
+
 SQL |= {
     "guid_function": f"{_C} SELECT binary_id, address, guid FROM fn",
     "guid_symbol": f"""{_C}, s AS (SELECT DISTINCT name FROM fn), v AS (SELECT name, {corpus.v5_sql("symbol", "hex(encode(name))")} AS guid FROM s)
@@ -496,6 +498,11 @@ SQL |= {
     "db_lookup_sets": f"""{_C} SELECT constraint_guid, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM db
         WHERE function_guid = (SELECT guid FROM fn WHERE binary_id = 'ref' AND address = 1) GROUP BY ALL""",
     "db_semi_prefetch": f"{_C} SELECT * FROM db WHERE function_guid IN (SELECT guid FROM fn WHERE binary_id = 'tgt')",
+    "dump_json": f"""{_C},
+        c AS (SELECT function_guid, constraint_guid, string_agg(to_json(symbol)::VARCHAR, ',' ORDER BY symbol) AS names FROM db GROUP BY ALL)
+        SELECT function_guid AS function, '{{"function":"' || {_DASHED.format("function_guid")} || '","constraints":[' ||
+          string_agg('{{"constraint":"' || {_DASHED.format("constraint_guid")} || '","symbols":[' || names || ']}}', ',' ORDER BY constraint_guid) || ']}}' AS json FROM c GROUP BY function_guid""",
+    "dump_json_miss": """SELECT repeat('44', 16) AS function, '{"function":"44444444-4444-4444-4444-444444444444","constraints":[]}' AS json""",
     "string_dictionary": f"{_C} SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS id FROM (SELECT DISTINCT symbol FROM db)",
     "constraint_dictionary": f"{_C} SELECT constraint_guid, row_number() OVER (ORDER BY constraint_guid) - 1 AS idx FROM (SELECT DISTINCT constraint_guid FROM db)",
     "prefix_offsets": f"""{_C}, z AS (SELECT function_guid, count(DISTINCT constraint_guid) AS constraints, count(*) AS symbols FROM db GROUP BY ALL)
