@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from namewright.functions.arrow import changes, codes
 from namewright.operators.skew import heavy_hashes, is_heavy
+from namewright.session import cut
 
 
 class _Level:
@@ -119,14 +120,14 @@ def term_counts(df: DataFrame, record: str, term: str, place: str, max_len: int
     records, so their counts add up, and only such runs are added up in a second
     shuffle. A task keeps one level for each length, and for the open prefixes
     the records as packed integers: at most the share above which values are
-    spread. Longer runs than 1 first need each record's order: one window by
-    record, which spills.
+    spread. Runs longer than 1 first need each record's order: rows are sorted by
+    range, so a long record takes several tasks, and the few rows that follow the
+    end of each range are handed over.
     """
     base = df.select(F.col(record).cast("long").alias("record"), F.col(term).alias("t1"), F.col(place).cast("long").alias("place")).filter("record IS NOT NULL AND t1 IS NOT NULL")
     names = [f"t{i + 1}" for i in range(max_len)]
     if max_len > 1:
-        order = Window.partitionBy("record").orderBy(F.col("place").asc_nulls_first(), "t1")
-        base = base.distinct().select("record", "place", "t1", *[F.lead("t1", i).over(order).alias(names[i]) for i in range(1, max_len)])
+        base = _suffixes(base, names)
     base = base.select(*names, "record", "place")
     kind = base.schema["t1"].dataType
     term_type = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
@@ -146,6 +147,32 @@ def term_counts(df: DataFrame, record: str, term: str, place: str, max_len: int
     return light.unionByName(spread.groupBy(*names).agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")))
 
 
+def _suffixes(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Distinct rows (record, place, t1) with the next values of the record, null after its end.
+
+    Rows are sorted by range into parts and written. A part's last rows are
+    continued by the first rows of the parts after it, of which the driver gets
+    len(names) - 1 each.
+    """
+    more = len(names) - 1
+    order = [F.col("record"), F.col("place").asc_nulls_first(), F.col("t1")]
+    ranged = rows.distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    number = F.monotonically_increasing_id()  # the part in its upper bits, the row within it below
+    ranged = cut(ranged.select("record", "place", "t1", F.shiftright(number, 33).cast("int").alias("part"), number.bitwiseAND((1 << 33) - 1).alias("row")))
+    heads: dict[int, list] = {}
+    for r in ranged.filter(F.col("row") < more).orderBy("part", "row").collect():
+        heads.setdefault(r.part, []).append((r.record, r.place, r.t1))
+    parts = sorted(heads)
+    lent = []
+    for i, part in enumerate(parts):
+        after = [x for p in parts[i + 1 : i + 1 + more] for x in heads[p]][:more]
+        lent += [(*x, part, (1 << 40) + n) for n, x in enumerate(after)]
+    both = ranged.unionByName(rows.sparkSession.createDataFrame(lent, ranged.schema))
+    within = Window.partitionBy("part").orderBy("row")
+    follow = [F.when(F.lead("record", i).over(within) == F.col("record"), F.lead("t1", i).over(within)).alias(names[i]) for i in range(1, more + 1)]
+    return both.select("record", "place", "t1", "row", *follow).filter(F.col("row") < 1 << 40).drop("row")
+
+
 def marked(counts: DataFrame, records: int, common_share: float, rare: int = 1) -> DataFrame:
     """counts of single values with mark: 'rare' up to so many records, 'common' from a share of all records, else null.
 

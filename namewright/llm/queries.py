@@ -244,7 +244,20 @@ WITH w AS (
 g AS (SELECT DISTINCT kind, id, unnest([array_to_string(words[i : i + 11], ' ') FOR i IN range(1, len(words) - 10)]) AS gram FROM w WHERE len(words) >= 12),
 pairs AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared FROM g d JOIN g i ON d.gram = i.gram AND d.kind = 0 AND i.kind = 1 GROUP BY ALL)
 """
+_AROUND = """(PARTITION BY source, unit ORDER BY length RANGE BETWEEN {} AND {})"""
+_P8 = f"""
+WITH d AS (SELECT coalesce(lower(trim(source)), '') AS source, text, rtrim(text, '\ufffd') AS whole FROM documents WHERE doc_id IS NOT NULL AND trim(text) <> ''),
+l AS (SELECT source, 'chars' AS unit, length(text) AS length FROM d
+      UNION ALL SELECT source, 'bytes', strlen(whole) + least(length(text) - length(whole), 1) FROM d),
+e AS (SELECT source, unit, length, count(*) AS texts FROM l GROUP BY ALL),
+h AS (SELECT *, sum(texts) OVER {_AROUND.format("CURRENT ROW", "UNBOUNDED FOLLOWING")}::BIGINT AS at_risk,
+        (greatest(coalesce(sum(texts) OVER {_AROUND.format("64 PRECEDING", "1 PRECEDING")}, 0), coalesce(sum(texts) OVER {_AROUND.format("1 FOLLOWING", "64 FOLLOWING")}, 0)) + 1) / 64.0::DOUBLE AS expected FROM e),
+t AS (SELECT *, least(floor(CASE WHEN texts > expected THEN texts * ln(texts / expected) - texts + expected ELSE 0 END / ln(10) * 20), 8000) AS step FROM h),
+r AS (SELECT step, sum(count(*)) OVER (ORDER BY step DESC) AS upto, sum(count(*)) OVER () AS every FROM t GROUP BY step),
+b AS (SELECT min(step) AS least FROM r WHERE pow(10, -step / 20) <= 0.01 * upto / every)
+"""
 SQL |= {
+    "p8_limits": f"{_P8} SELECT source, unit, length, texts, at_risk, round(expected, 6) AS expected FROM t, b WHERE step >= b.least AND texts >= 3",
     "p6_found": f"{_P6} SELECT doc_id, item_id FROM pairs",
     "p6_items": f"""{_P6} SELECT item_id, count(DISTINCT doc_id) AS pages, round(max(shared / runs), 6) AS part FROM pairs
         JOIN (SELECT id AS item_id, count(*) AS runs FROM g WHERE kind = 1 GROUP BY ALL) USING (item_id) GROUP BY item_id""",
