@@ -6,3 +6,10 @@ joins; the name database is a grouped aggregate; naming is a fixpoint of joins.
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors then need no copy of this package: what they run is sent to them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
