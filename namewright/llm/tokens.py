@@ -15,18 +15,20 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary cuts text into pieces.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_loaded: dict[int, object] = {}
-
 
 def _encoding(ranks: bytes):
-    """The tokenizer, made once in a worker."""
-    key = hash(ranks)
-    if key not in _loaded:
-        import tiktoken
+    """The tokenizer, made once in a worker.
 
+    It is kept with the library: this module may reach a worker by value, anew for each task.
+    """
+    import tiktoken
+
+    made = vars(tiktoken).setdefault("_by_ranks", {})
+    key = hash(ranks)
+    if key not in made:
         pairs = (line.split() for line in ranks.splitlines() if line)
-        _loaded[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
-    return _loaded[key]
+        made[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
+    return made[key]
 
 
 def with_tokens(df: DataFrame, text: str, name: str = "tokens", vocabulary: str = VOCABULARY) -> DataFrame:

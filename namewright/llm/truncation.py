@@ -26,7 +26,7 @@ WORDS = 3
 
 # Marks of omission (also as they look after a wrong decoding), ends of
 # sentences, and signs that set the entries of menus and footers apart.
-MARK = r"(\s*(\[\s*(…|\.\.\.)\s*\]|\(\s*(…|\.\.\.)\s*\)|…|\.\.\.+|вЂ¦|â€¦|â\x80¦|�))+$"
+MARK = r"((\s*(\[\s*(…|\.\.\.)\s*\]|\(\s*(…|\.\.\.)\s*\)|…|\.\.\.+|вЂ¦|â€¦|â\x80¦))+|(?<=[^\s�]\s)�)$"
 STOP = r"[.!?。！？؟।][\"'”’»)\]]*$"
 FRAME = r"\||^.{0,2}©"
 MENU = r"[•·>]|( [-–] .*){2}|\S {2,}+\S.* {2}"
