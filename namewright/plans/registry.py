@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from namewright.functions import guid as g
 from namewright.functions.guid import guid_bytes, guid_hex
+from namewright.functions.numbers import parse_number
 from namewright.operators import blocks, constraints, database, graph, matching, procedures, ranges
 from namewright.operators.skew import key_quantiles
 from namewright.plans import corpus
+from namewright.sources import discovery
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -296,6 +298,41 @@ def match_named_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.functions.select("binary_id", "address", "guid").join(_match(spark, sf_dir).named.select("binary_id", "address", "symbol_name"), ["binary_id", "address"]).select("address", "guid", "symbol_name")
 
 
+def match_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of all analysed functions by the constraints recorded for them."""
+    calls = spark.createDataFrame([], "binary_id string, caller long, target long, address long")
+    found = matching.match(_bodies(spark, sf_dir), _recorded(spark, sf_dir), calls, _recorded_db(spark, sf_dir))
+    return found.counts
+
+
+def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of all functions, read back from text."""
+    rows = _table(spark, sf_dir, "analyzed_functions").select("function_id", "address").distinct()
+    text = F.when(F.col("function_id") % 2 == 0, F.concat(F.lit("0x"), F.lower(F.hex("address")))).otherwise(F.col("address").cast("string"))
+    return rows.select("function_id", parse_number(text).alias("address"))
+
+
+def function_size_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of all functions with their GUIDs, each function once."""
+    rows = _table(spark, sf_dir, "analyzed_functions").select("function_id", "size", guid_bytes(F.col("guid")).alias("g"))
+    return rows.groupBy("function_id").agg(F.max("size").alias("size"), guid_hex(F.max("g")).alias("guid"))
+
+
+def binary_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each executable once, as registered last, with the identity of its symbol file."""
+    rows = _table(spark, sf_dir, "binaries")
+    last = F.max_by(F.struct("path", "image_base", "bitness", "time_date_stamp", "pdb_guid", "pdb_age"), F.struct("ingested_at", "path")).alias("b")
+    b = rows.groupBy("binary_id").agg(last)
+    return b.select("binary_id", "b.path", "b.image_base", "b.bitness", "b.time_date_stamp", guid_hex(guid_bytes(F.col("b.pdb_guid"))).alias("pdb_guid"), "b.pdb_age")
+
+
+def discovery_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered executables that have a symbol file; here those with a known identity count as having one."""
+    rows = _table(spark, sf_dir, "binaries").select("path", "pdb_guid").filter("lower(path) LIKE '%.exe'")
+    symbols = rows.filter("pdb_guid IS NOT NULL").select(F.regexp_replace("path", r"(?i)\.exe$", ".pdb").alias("path"))
+    return discovery.paired(rows.select("path").distinct(), symbols)
+
+
 # --- procedures, graph, ranges, blocks --------------------------------------------
 
 
@@ -508,6 +545,26 @@ SQL |= {
     "prefix_offsets": f"""{_C}, z AS (SELECT function_guid, count(DISTINCT constraint_guid) AS constraints, count(*) AS symbols FROM db GROUP BY ALL)
         SELECT *, (sum(constraints) OVER w - constraints)::BIGINT AS constraint_offset, (sum(symbols) OVER w - symbols)::BIGINT AS symbol_offset FROM z
         WINDOW w AS (ORDER BY function_guid ROWS UNBOUNDED PRECEDING)""",
+    "match_recorded": f"""WITH {_REC},
+        db AS (SELECT guid AS fg, '{g.NIL}' AS cg, name FROM bodies JOIN names USING (binary_id, address)
+               UNION SELECT guid, cg, name FROM bodies JOIN names USING (binary_id, address) JOIN rec USING (binary_id, address)),
+        agg AS (SELECT fg, cg, count(*) AS n, CASE WHEN count(*) = 1 THEN min(name) END AS only_name FROM db GROUP BY ALL),
+        obs AS (SELECT binary_id, address, guid AS fg, '{g.NIL}' AS cg FROM bodies UNION ALL SELECT binary_id, address, guid, cg FROM bodies JOIN rec USING (binary_id, address)),
+        hit AS (SELECT * FROM obs JOIN agg USING (fg, cg)),
+        tier AS (SELECT binary_id, address, fg, max(only_name) FILTER (cg = '{g.NIL}') AS a, arg_min(only_name, cg) FILTER (n = 1 AND cg <> '{g.NIL}') AS b,
+                   count(*) FILTER (cg <> '{g.NIL}') AS k FROM hit GROUP BY ALL),
+        inter AS (SELECT binary_id, address, min(name) AS c FROM (
+            SELECT t.binary_id, t.address, d.name FROM tier t JOIN hit h ON h.binary_id = t.binary_id AND h.address = t.address AND h.cg <> '{g.NIL}'
+            JOIN db d ON d.fg = h.fg AND d.cg = h.cg WHERE a IS NULL AND b IS NULL AND k >= 2 GROUP BY t.binary_id, t.address, d.name, t.k HAVING count(*) = t.k) GROUP BY ALL HAVING count(*) = 1),
+        total AS (SELECT binary_id, address, count(*) AS n FROM (SELECT DISTINCT binary_id, address, {_HEX} AS cg, off FROM function_constraints WHERE guid IS NOT NULL AND {_HEX} <> repeat('0', 32)) GROUP BY ALL)
+        SELECT b.binary_id, b.address, coalesce(t.a, t.b, i.c) AS symbol_name, coalesce(t.k, 0) AS matched_constraints, coalesce(n.n, 0) AS total_constraints
+        FROM bodies b LEFT JOIN tier t USING (binary_id, address) LEFT JOIN inter i USING (binary_id, address) LEFT JOIN total n USING (binary_id, address)""",
+    "number_parse": "SELECT DISTINCT function_id, address FROM analyzed_functions",
+    "function_size_lookup": f"""SELECT function_id, max(size) AS size, max(CASE WHEN {_HEX} <> repeat('0', 32) THEN {_HEX} END) AS guid FROM analyzed_functions GROUP BY function_id""",
+    "binary_latest": """SELECT binary_id, path, image_base, bitness, time_date_stamp, lower(regexp_replace(pdb_guid, '[^0-9A-Fa-f]', '', 'g')) AS pdb_guid, pdb_age
+        FROM binaries QUALIFY row_number() OVER (PARTITION BY binary_id ORDER BY ingested_at DESC NULLS LAST, path DESC) = 1""",
+    "discovery_pairs": r"""WITH e AS (SELECT DISTINCT path, regexp_replace(path, '\.[^./\\]*$', '') AS stem, pdb_guid FROM binaries WHERE lower(path) LIKE '%.exe')
+        SELECT DISTINCT path FROM e WHERE stem IN (SELECT stem FROM e WHERE pdb_guid IS NOT NULL)""",
     "match_nil": f"{_M} SELECT address, nil_name FROM new1 WHERE nil_name IS NOT NULL",
     "match_singleton": f"{_M} SELECT address, single_name FROM new1 WHERE nil_name IS NULL AND single_name IS NOT NULL",
     "match_intersection": f"{_M} SELECT address, common_name FROM new1 WHERE common_name IS NOT NULL",
@@ -553,7 +610,7 @@ QUERIES = {
         p1_found, p1_quantiles, guid_function, guid_symbol, guid_normalise, *map(_con, ("child_call", "parent_call", "symbol_child", "symbol_parent", "data_const")),
         constraint_union_distinct, constraint_analysed, db_build, db_corpus, db_nested_sizes, db_nested_round_trip, db_stats, db_unique_constraints, db_functions,
         db_lookup_hit, db_lookup_miss, db_lookup_sets, db_semi_prefetch, dump_json, dump_json_miss, string_dictionary, constraint_dictionary, prefix_offsets,
-        match_nil, match_singleton, match_intersection, match_round1, match_fixpoint, match_counts, match_summary, match_named_info,
+        match_nil, match_singleton, match_intersection, match_round1, match_fixpoint, match_counts, match_summary, match_named_info, match_recorded, number_parse, function_size_lookup, binary_latest, discovery_pairs,
         first_symbol_wins, procedure_filter, reachability, chain_roots, chain_ranges, range_join_section, address_writable, functions_by_section, section_modules,
         block_sweep, byte_normalise, data_references, function_sizes, block_guid_concat,
     )

@@ -50,3 +50,11 @@ def test_spellings(spark):
     df = spark.createDataFrame([(t,) for t in same + none], "t string")
     got = [r.x for r in df.select(g.guid_hex(g.guid_bytes(F.col("t"))).alias("x")).collect()]
     assert got == [plain] * len(same) + [None] * len(none)
+
+
+def test_numbers(spark):
+    from namewright.functions.numbers import parse_number
+
+    cases = {"0x1F": 31, "31": 31, " 0X00ff ": 255, "0x": None, "0xzz": None, "x": None, "": None, "0x7fffffffffffffff": 2**63 - 1, "0xffffffffffffffff": None, "0x" + "0" * 40 + "1": 1, "-5": -5, "0x" + "f" * 30: None}
+    df = spark.createDataFrame([*[(t,) for t in cases], (None,)], "t string")
+    assert [r.x for r in df.select(parse_number(F.col("t")).alias("x")).collect()] == [*cases.values(), None]
