@@ -9,7 +9,7 @@ from namewright.functions import guid as g
 from namewright.functions.guid import guid_bytes, guid_hex
 from namewright.functions.numbers import parse_number
 from namewright.operators import blocks, constraints, database, graph, matching, procedures, ranges
-from namewright.operators.skew import key_quantiles
+from namewright.operators.skew import key_quantiles, once
 from namewright.plans import corpus
 from namewright.sources import discovery
 
@@ -151,12 +151,12 @@ def _recorded_db(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "analyzed_functions").select("binary_id", "address", guid_bytes(F.col("guid")).alias("g")).filter("g IS NOT NULL")
+    rows = _table(spark, sf_dir, "analyzed_functions").select("binary_id", "address", once(guid_bytes(F.col("guid"))).alias("g")).filter("g IS NOT NULL")
     return rows.groupBy("binary_id", "address").agg(guid_hex(F.min("g")).alias("guid"))
 
 
 def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "function_constraints").select("binary_id", "address", guid_bytes(F.col("guid")).alias("g"), "off").filter("g IS NOT NULL").distinct()
+    rows = _table(spark, sf_dir, "function_constraints").select("binary_id", "address", once(guid_bytes(F.col("guid"))).alias("g"), "off").filter("g IS NOT NULL").distinct()
     return rows.select("binary_id", "address", guid_hex(F.col("g")).alias("guid"), "off")
 
 
