@@ -64,7 +64,6 @@ def _count_prefixes(max_len: int, names: list[str], schema: pa.Schema):
                 ends = np.append(starts[1:], batch.num_rows)
                 seen = np.concatenate(([0], np.cumsum(new)))
                 level = stack[k - 1]
-                whole = []
                 for j in (0, len(starts) - 1) if len(starts) > 1 else (0,):
                     # Segments at the ends of a batch may go on in the batches around it.
                     s, e = starts[j], ends[j]

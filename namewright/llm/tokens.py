@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Ranks of a byte-level vocabulary; a parameter wherever it is used.
