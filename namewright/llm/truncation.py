@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from namewright.operators.skew import once
+
 #: Lengths on either side that a length is held against.
 AROUND = 64
 #: False-discovery rate of significant lengths, and the least texts of such a length.
@@ -130,15 +132,15 @@ def find_truncated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", s
     mark = F.length(F.regexp_extract(F.right(line, F.lit(TAIL)), MARK, 0))
     end = F.rtrim(F.substring(line, F.lit(1), F.length(line) - mark), blank)
     shape = F.xxhash64(F.regexp_replace(F.regexp_replace(F.col("_end"), HOST, "H"), "[0-9]+", "9"))
-    lines = base.filter(F.trim(t) != "").select(end.alias("_end")).select(shape.alias("_shape")).groupBy("_shape").agg(F.count(F.lit(1)).alias("_n"))
+    lines = base.filter(F.trim(t) != "").select(once(end).alias("_end")).select(shape.alias("_shape")).groupBy("_shape").agg(F.count(F.lit(1)).alias("_n"))
     everything = docs.count()
     # More than OFTEN of all texts each: at most 1/OFTEN rows.
     frame = F.broadcast(lines.filter(F.col("_n") > 3 + OFTEN * everything))
 
     near = limits.groupBy("source").agg(F.collect_set(F.struct("unit", F.col("length").cast("int").alias("length"))).alias("_limits"))
     ended = (
-        base.withColumn("_end", end)
-        .withColumn("_shape", shape)
+        base.withColumn("_end", once(end))
+        .withColumn("_shape", once(shape))
         .filter((F.col("_end") != "") & ~F.rlike(F.right("_end", F.lit(TAIL)), F.lit(STOP)))
         .join(frame, "_shape", "left")
         .join(F.broadcast(near), "source", "left")
