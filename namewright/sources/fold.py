@@ -24,11 +24,25 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+
+class Layout:
+    """A packed row; unlike the library's own, it can be sent to executors."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.size = text, struct.calcsize(text)
+
+    def pack(self, *values) -> bytes:
+        return struct.pack(self.text, *values)
+
+    def unpack_from(self, data, at: int = 0) -> tuple:
+        return struct.unpack_from(self.text, data, at)
+
+
 # Fixed values of the format.
 VERSION = 1
-HEADER = struct.Struct("<7sB5Q")
-FUNCTION, CONSTRAINT = struct.Struct("<16sII"), struct.Struct("<III")
-COUNT = struct.Struct("<I")
+HEADER = Layout("<7sB5Q")
+FUNCTION, CONSTRAINT = Layout("<16sII"), Layout("<III")
+COUNT = Layout("<I")
 
 MAGIC = "NWNAMES"
 SCHEMA = "function_guid string, constraint_guid string, symbol string"
