@@ -19,9 +19,10 @@ from namewright.operators.skew import once
 AROUND = 64
 #: False-discovery rate of significant lengths, and the least texts of such a length.
 RATE, LEAST = 0.01, 3
-#: A last line in this share of all texts is part of the pages' frame; at most 1/OFTEN lines are.
+#: A last line in more than this share of the different texts, and in two of them, is part of the
+#: pages' frame; at most 1/OFTEN lines are.
 OFTEN = 2e-5
-#: In this share of all texts, it is so whatever else speaks for a cut.
+#: In more than this share of the different texts, it is so whatever else speaks for a cut.
 ALWAYS = 2e-3
 #: Words of a last line that can show by itself that a sentence was under way.
 WORDS = 3
@@ -104,15 +105,17 @@ def find_truncated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", s
     omission left aside, its last line is not part of the pages' frame, and
     either it has a significant length of its source (limit), or its received
     body breaks off (transfer), or its last line has words enough for a sentence
-    and occurs hardly anywhere else (ending). Sources are compared trimmed and in
+    and occurs hardly anywhere else (ending). Copies tell nothing about where a text
+    ends: texts alike but for hosts and numbers count once where last lines and
+    lengths are judged here, while limits counts every row. Sources are compared trimmed and in
     lower case, a missing one is a source of its own. Null and blank texts are
     never cut; rows without id are ignored; repeated rows count each time; without
     headers or bodies the other signs decide; an empty table gives empty results;
     other columns are ignored whatever their names.
 
-    Documents are never shuffled: two scans shuffle counts (of lengths, of hashed
-    last lines), the third reads bodies and joins the significant lengths and the
-    frequent last lines, both broadcast and bounded by 1/OFTEN rows.
+    Documents are never shuffled: two scans shuffle hashes of texts with their
+    lengths or hashed last lines, the third reads bodies and joins the significant
+    lengths and the frequent last lines, both broadcast and bounded by 1/OFTEN rows.
     """
     t = F.col("_text")
     none = F.lit(None)
@@ -124,20 +127,25 @@ def find_truncated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", s
         (F.col(body).cast("binary") if body else none.cast("binary")).alias("_body"),
     ).filter("id IS NOT NULL")
 
-    sizes = base.filter(F.trim(t) != "").select("source", F.explode(F.create_map(*[x for u, n in _lengths(t).items() for x in (F.lit(u), n)])).alias("unit", "length"))
-    limits = length_limits(sizes)
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, HOST, "H"), "[0-9]+", "9")
+    copy = F.xxhash64(plain(t)).alias("_copy")
+    by_unit = F.explode(F.create_map(*[x for u in _lengths(t) for x in (F.lit(u), F.col(u))])).alias("unit", "length")
+    sizes = base.filter(F.trim(t) != "").select("source", *[n.alias(u) for u, n in _lengths(t).items()], copy)
+    limits = length_limits(sizes.select("source", by_unit))
+    own = length_limits(sizes.distinct().select("source", by_unit))
 
     blank = F.lit(" \n\r\t ")
     line = F.rtrim(F.substring_index(F.rtrim(t, blank), "\n", -1), blank)
     mark = F.length(F.regexp_extract(F.right(line, F.lit(TAIL)), MARK, 0))
     end = F.rtrim(F.substring(line, F.lit(1), F.length(line) - mark), blank)
-    shape = F.xxhash64(F.regexp_replace(F.regexp_replace(F.col("_end"), HOST, "H"), "[0-9]+", "9"))
-    lines = base.filter(F.trim(t) != "").select(once(end).alias("_end")).select(shape.alias("_shape")).groupBy("_shape").agg(F.count(F.lit(1)).alias("_n"))
-    everything = docs.count()
-    # More than OFTEN of all texts each: at most 1/OFTEN rows.
-    frame = F.broadcast(lines.filter(F.col("_n") > 3 + OFTEN * everything))
-
-    near = limits.groupBy("source").agg(F.collect_set(F.struct("unit", F.col("length").cast("int").alias("length"))).alias("_limits"))
+    shape = F.xxhash64(plain(F.col("_end")))
+    texts = base.filter(F.trim(t) != "").select(once(end).alias("_end"), copy).select(shape.alias("_shape"), "_copy").distinct()
+    lines = texts.groupBy("_shape").agg(F.count(F.lit(1)).alias("_n"))
+    over = lambda share: F.col("_n") > F.greatest(F.lit(1.0), share * F.col("_all"))
+    # More than OFTEN of all different texts each: at most 1/OFTEN rows.
+    frame = F.broadcast(lines.join(F.broadcast(lines.agg(F.sum("_n").alias("_all")))).filter(over(OFTEN)).select("_shape", over(ALWAYS).alias("_always")))
+
+    near = own.groupBy("source").agg(F.collect_set(F.struct("unit", F.col("length").cast("int").alias("length"))).alias("_limits"))
     ended = (
         base.withColumn("_end", once(end))
         .withColumn("_shape", once(shape))
@@ -148,9 +156,9 @@ def find_truncated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", s
     at_limit = F.lit(False)
     for u, n in _lengths(t).items():
         at_limit = at_limit | F.coalesce(F.array_contains(F.col("_limits"), F.struct(F.lit(u).alias("unit"), n.cast("int").alias("length"))), F.lit(False))
-    rare = F.coalesce(F.col("_n"), F.lit(0)) <= ALWAYS * everything + 3
+    rare = ~F.coalesce(F.col("_always"), F.lit(False))
     framed = F.rlike(F.col("_end"), F.lit(FRAME))
-    alone = F.col("_n").isNull() & (F.size(F.split(F.col("_end"), r"\s+")) >= WORDS) & ~framed & ~F.rlike(F.col("_end"), F.lit(MENU))
+    alone = F.col("_always").isNull() & (F.size(F.split(F.col("_end"), r"\s+")) >= WORDS) & ~framed & ~F.rlike(F.col("_end"), F.lit(MENU))
     reason = F.when(rare & at_limit & ~framed, "limit").when(rare & _broken(F.col("_headers"), F.col("_body")), "transfer").when(alone, "ending")
     found = ended.select("id", "source", reason.alias("reason")).filter("reason IS NOT NULL")
 

@@ -287,6 +287,27 @@ def test_truncation(spark):
     assert none.cut.count() == none.limits.count() == none.rates.count() == 0
 
 
+def _found(spark, docs):
+    """Reasons of the cut texts of (id, text, source, raw_bytes)."""
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, raw_bytes binary").withColumn("headers", F.lit("HTTP/1.1 200 OK"))
+    return {r.id: r.reason for r in truncation.find_truncated(df).cut.collect()}
+
+
+def test_copies_of_a_cut_text_are_found(spark):
+    closed = b"<html><body>...</body></html>"
+    docs = [(i, prose(rng.randrange(300, 3000)) + "\nBack to our top page", "one", closed) for i in range(200)]
+    limit = [prose(500)[:449] + "n" for _ in range(60)]
+    docs += [(1000 + i, limit[0] if i < 40 else limit[i - 40], "two", closed) for i in range(100)]
+    docs += [(2000 + i, f"See www{i}.example.org now.\nThe river near a window kee", "one", b"<html><body>...") for i in range(100)]
+    docs += [(3000 + i, "Some notice.\nThe garden near an engi", "one", None) for i in range(100)]
+    docs += [(4000 + i, "Nothing was found here.\nHome page", "one", closed) for i in range(100)]  # whole, of one length by copying alone
+    got = _found(spark, docs)
+    assert {i for i in got if i < 1000} == set() == {i for i in got if i >= 4000}
+    assert {i for i, r in got.items() if r == "limit"} == set(range(1000, 1100))
+    assert {i for i, r in got.items() if r == "transfer"} == set(range(2000, 2100))
+    assert {i for i, r in got.items() if r == "ending"} == set(range(3000, 3100))
+
+
 def test_length_limits_ignore_smooth_lengths(spark):
     rows = [("s", "chars", 100 + rng.randrange(400)) for _ in range(4000)] + [("s", "chars", 300)] * 120
     found = truncation.length_limits(spark.createDataFrame(rows, "source string, unit string, length int"))
