@@ -26,16 +26,22 @@ OFTEN = 2e-5
 ALWAYS = 2e-3
 #: Words of a last line that can show by itself that a sentence was under way.
 WORDS = 3
+#: Most words of an entry of a footer whose entries '|' sets apart.
+ENTRY = 4
+#: Characters that stand for a word in scripts without blanks.
+PER_WORD = 4
 
 # Marks of omission (also as they look after a wrong decoding), ends of
 # sentences, and signs that set the entries of menus and footers apart.
 MARK = r"((\s*(\[\s*(…|\.\.\.)\s*\]|\(\s*(…|\.\.\.)\s*\)|…|\.\.\.+|вЂ¦|â€¦|â\x80¦))+|(?<=[^\s�]\s)�)$"
-STOP = r"[.!?。！？؟।][\"'”’»)\]]*$"
-FRAME = r"\||^.{0,2}©"
+STOP = r"[.!?。！？؟।｡．។။][\"'”’»)\]」』）】》〉]*$"
+FRAME = r"^.{0,2}©"
 MENU = r"[•·>]|( [-–] .*){2}|\S {2,}+\S.* {2}"
 #: Characters at the end of a line in which a mark or an end of a sentence is looked for.
 TAIL = 80
 # No pattern here goes back over what it has read more than once a line, however long the line.
+# Thai and Lao are left out: no mark ends their sentences, so their last lines tell nothing.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsKhmer}\p{IsMyanmar}"
 HOST = r"(?<!\S)\S*\.[a-z]{2}\S*"
 
 
@@ -88,6 +94,12 @@ def _lengths(text: Column) -> dict[str, Column]:
     return {"chars": F.length(text), "bytes": F.octet_length(whole) + F.least(F.length(text) - F.length(whole), F.lit(1))}
 
 
+def _words(text: Column) -> Column:
+    """Words of a text: those between blanks, or what the characters of scripts without blanks come to."""
+    unspaced = F.length(F.regexp_replace(text, f"[^{UNSPACED}]", ""))
+    return F.greatest(F.size(F.split(F.trim(text), r"\s+")), F.floor(unspaced / PER_WORD))
+
+
 def _broken(headers: Column, body: Column) -> Column:
     """Whether a received body ends early: a page that never closes, or less than the length declared for it."""
     latin = lambda c: F.decode(c, "ISO-8859-1")
@@ -104,8 +116,9 @@ def find_truncated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", s
     A text is cut if it does not end with the end of a sentence, a mark of
     omission left aside, its last line is not part of the pages' frame, and
     either it has a significant length of its source (limit), or its received
-    body breaks off (transfer), or its last line has words enough for a sentence
-    and occurs hardly anywhere else (ending). Copies tell nothing about where a text
+    body breaks off (transfer), or its last line, or what follows the last '|' there,
+    has words enough for a sentence and the line occurs hardly anywhere else (ending);
+    one or two words after a line break are no sign by themselves. Copies tell nothing about where a text
     ends: texts alike but for hosts and numbers count once where last lines and
     lengths are judged here, while limits counts every row. Sources are compared trimmed and in
     lower case, a missing one is a source of its own. Null and blank texts are
@@ -157,8 +170,11 @@ def find_truncated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", s
     for u, n in _lengths(t).items():
         at_limit = at_limit | F.coalesce(F.array_contains(F.col("_limits"), F.struct(F.lit(u).alias("unit"), n.cast("int").alias("length"))), F.lit(False))
     rare = ~F.coalesce(F.col("_always"), F.lit(False))
-    framed = F.rlike(F.col("_end"), F.lit(FRAME))
-    alone = F.col("_always").isNull() & (F.size(F.split(F.col("_end"), r"\s+")) >= WORDS) & ~framed & ~F.rlike(F.col("_end"), F.lit(MENU))
+    entries = F.split(F.col("_end"), r"\|")
+    last, several = F.substring_index(F.col("_end"), "|", -1), F.contains(F.col("_end"), F.lit("|"))
+    framed = F.rlike(F.col("_end"), F.lit(FRAME)) | (several & F.forall(entries, lambda e: _words(e) <= ENTRY))
+    sentence = _words(last) >= F.when(several, F.lit(ENTRY + 1)).otherwise(F.lit(WORDS))
+    alone = F.col("_always").isNull() & sentence & ~framed & ~F.rlike(F.col("_end"), F.lit(MENU))
     reason = F.when(rare & at_limit & ~framed, "limit").when(rare & _broken(F.col("_headers"), F.col("_body")), "transfer").when(alone, "ending")
     found = ended.select("id", "source", reason.alias("reason")).filter("reason IS NOT NULL")
 

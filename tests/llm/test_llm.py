@@ -308,6 +308,24 @@ def test_copies_of_a_cut_text_are_found(spark):
     assert {i for i, r in got.items() if r == "ending"} == set(range(3000, 3100))
 
 
+def test_endings_without_blanks_and_in_tables(spark):
+    docs = [
+        (1, "标题\n这条河流经过城市的旧花园并且一直向北", "a", None),  # cut
+        (2, "标题\n这条河流经过城市的旧花园。", "a", None),
+        (3, "标题\n他说：「这条河流经过城市的旧花园。」", "a", None),
+        (4, "标题\n返回顶部", "a", None),
+        (5, "版权所有 | 隐私政策 | 联系我们", "a", None),
+        (6, "Names.\nAnna | 34 | keeps the engine near the old riv", "a", None),  # cut
+        (7, "Names.\nHome page | Terms of use | Privacy and cookies", "a", None),
+        (8, "Names.\nWe keep cookies for the good of all readers here. More | Accept", "a", None),
+        (9, "ชื่อ\nแม่น้ำไหลผ่านสวนเก่าของเมือง", "a", None),
+    ]
+    assert _found(spark, docs) == {1: "ending", 6: "ending"}
+    rows = [(i, prose(rng.randrange(300, 3000)), "b", None) for i in range(200)]
+    rows += [(1000 + i, (prose(300)[:300] + "\nThe engine of the " + "".join(rng.choices("aeiou", k=12)) + " | old garden window | " + "market " * 40)[:380], "b", None) for i in range(50)]
+    assert {i for i, r in _found(spark, rows).items() if r == "limit"} == set(range(1000, 1050))
+
+
 def test_length_limits_ignore_smooth_lengths(spark):
     rows = [("s", "chars", 100 + rng.randrange(400)) for _ in range(4000)] + [("s", "chars", 300)] * 120
     found = truncation.length_limits(spark.createDataFrame(rows, "source string, unit string, length int"))
