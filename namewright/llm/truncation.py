@@ -102,9 +102,12 @@ def _words(text: Column) -> Column:
 
 def _broken(headers: Column, body: Column) -> Column:
     """Whether a received body ends early: a page that never closes, or less than the length declared for it."""
-    latin = lambda c: F.decode(c, "ISO-8859-1")
-    opened = F.contains(F.lower(latin(F.substring(body, 1, 2048))), F.lit("<html"))
-    closed = F.contains(F.lower(latin(F.substring(body, -64, 64))), F.lit("</html"))
+    page = F.lower(F.decode(body, "ISO-8859-1"))
+    after = F.substring_index(page, "</html", -1)
+    # What a script or a comment holds is no closing tag; such a one ends after it without having begun there.
+    outside = lambda a, b: F.contains(F.substring_index(after, b, 1), F.lit(a)) | ~F.contains(after, F.lit(b))
+    opened = F.contains(page, F.lit("<html"))
+    closed = F.contains(page, F.lit("</html")) & outside("<script", "</script") & outside("<!--", "-->")
     declared = F.expr("try_cast(regexp_extract(_headers, '(?im)^content-length:[ \\\\t]*([0-9]+)', 1) AS BIGINT)")
     plain = ~F.coalesce(F.lower(headers).contains("content-encoding"), F.lit(False))
     return F.coalesce((opened & ~closed) | (plain & (declared > F.octet_length(body))), F.lit(False))

@@ -326,6 +326,19 @@ def test_endings_without_blanks_and_in_tables(spark):
     assert {i for i, r in _found(spark, rows).items() if r == "limit"} == set(range(1000, 1050))
 
 
+def test_tags_anywhere_in_the_body(spark):
+    bodies = {
+        1: b" " * 5000 + b"<HTML><body>...",  # broken
+        2: b"<html><body>...</body></html><!-- " + b"x" * 5000 + b" --><script>y()</script>\n",
+        3: b"<html><script>w('<html></html>')</script><p>...",  # broken
+        4: b"<html><!-- </html> --><p>...",  # broken
+        5: b" " * 5000 + b"<html><body>...</HTML>" + b"\n" * 200,
+        6: b"",
+    }
+    docs = [(i, f"Read.\n{'abcdefg'[i]} river", str(i), body) for i, body in bodies.items()]
+    assert _found(spark, docs) == dict.fromkeys((1, 3, 4), "transfer")
+
+
 def test_length_limits_ignore_smooth_lengths(spark):
     rows = [("s", "chars", 100 + rng.randrange(400)) for _ in range(4000)] + [("s", "chars", 300)] * 120
     found = truncation.length_limits(spark.createDataFrame(rows, "source string, unit string, length int"))
