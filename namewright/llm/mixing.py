@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from namewright.session import cut
 
-#: More patterns of membership than this are refused: the flow is solved on the driver.
+#: More target sources or patterns of membership than this are refused: the flow is solved on the driver.
 PATTERNS = 20_000
 
 
@@ -106,14 +106,17 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, seed: int = 0, buckets:
     that take part. A source without documents has nothing to route. Other columns
     are ignored. Every choice depends on seed and id alone.
 
-    One shuffle by document finds its sources. Patterns go to the driver, at most
-    PATTERNS of them. A pattern's documents are ordered by a seeded hash: running
+    One shuffle by document finds its sources. Targets and patterns go to the driver,
+    at most PATTERNS of either; more raise an error. A pattern's documents are ordered by a seeded hash: running
     sums in hash buckets, then over the bucket sums, so that a source with a third
     of all documents is spread over all buckets.
     """
     spark = docs.sparkSession
     key = lambda c: F.lower(F.trim(c))
-    listed = {r.k: (r.source, r.target_share or 0.0, max(0, r.max_repeats or 0)) for r in targets.select(key(F.col("source")).alias("k"), "source", "target_share", "max_repeats").filter("k IS NOT NULL").limit(PATTERNS).collect()}
+    rows = targets.select(key(F.col("source")).alias("k"), "source", "target_share", "max_repeats").filter("k IS NOT NULL").limit(PATTERNS + 1).collect()
+    if len(rows) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} target sources")
+    listed = {r.k: (r.source, r.target_share or 0.0, max(0, r.max_repeats or 0)) for r in rows}
     held = cut(
         docs.select("id", key(F.col("source")).alias("source"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"))
         .filter(F.col("id").isNotNull() & (F.col("source").isin(list(listed)) if listed else F.lit(False)))

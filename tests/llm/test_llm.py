@@ -237,6 +237,15 @@ def test_mix(spark):
     assert empty.chosen.count() == 0 and empty.plan.count() == 4
 
 
+def test_too_many_targets_raise(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PATTERNS", 3)
+    docs = spark.createDataFrame([(1, "a", 5)], "id long, source string, tokens long")
+    targets = spark.createDataFrame([(s, 0.25, 1) for s in "abcd"], "source string, target_share double, max_repeats int")
+    with pytest.raises(ValueError, match="target sources"):
+        mixing.mix_sources(docs, targets)
+    assert mixing.mix_sources(docs, targets.filter("source <> 'd'")).plan.count() == 3
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (4, "<|endoftext|>")], "id int, text string")
     got = {r.id: r.tokens for r in tokens.with_tokens(df, "text").collect()}
