@@ -6,6 +6,8 @@ A GUID is 32 lower-case hex digits (string order is byte order) in results and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,14 +28,17 @@ NIL = "0" * 32
 def uuid5(namespace: str, payload_hex: Column) -> Column:
     """UUIDv5 as 32 hex digits. payload_hex: the payload's bytes in hex; null gives null."""
     digest = F.sha1(F.unhex(F.concat(F.lit(NAMESPACES[namespace]), payload_hex)))
-    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab" * 4)
-    return F.concat(
-        F.substring(digest, 1, 12),
-        F.lit("5"),
-        F.substring(digest, 14, 3),
-        variant,
-        F.substring(digest, 18, 15),
-    )
+
+    def shown(d: Column) -> Column:
+        variant = F.translate(F.substring(d, 17, 1), "0123456789abcdef", "89ab" * 4)
+        return F.concat(F.substring(d, 1, 12), F.lit("5"), F.substring(d, 14, 3), variant, F.substring(d, 18, 15))
+
+    return bound(digest, shown)
+
+
+def bound(column: Column, use: Callable[[Column], Column]) -> Column:
+    """use(column) with the column named once in the plan, however often use refers to it."""
+    return F.get(F.transform(F.array(column), use), F.lit(0))
 
 
 def text_hex(text: Column) -> Column:
@@ -76,6 +81,16 @@ def symbol_parent_call(name: Column) -> Column:
     return uuid5("symbol_parent_call", symbol_guid(name))
 
 
+def symbol_calls(name: Column) -> Column:
+    """Both of them as a struct (child, parent); the name's own GUID is made once."""
+    return bound(symbol_guid(name), lambda s: F.struct(uuid5("symbol_child_call", s).alias("child"), uuid5("symbol_parent_call", s).alias("parent")))
+
+
+def function_calls(function: Column) -> Column:
+    """child_call() and parent_call() as a struct (child, parent)."""
+    return bound(function, lambda f: F.struct(child_call(f).alias("child"), parent_call(f).alias("parent")))
+
+
 def data_const(payload_hex: Column) -> Column:
     """Constraint: refers to these constant bytes."""
     return uuid5("data_const", payload_hex)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from namewright.functions.guid import NIL
+from namewright.operators.skew import once
 
 
 def build(labelled: DataFrame, constraints: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def build(labelled: DataFrame, constraints: DataFrame) -> DataFrame:
     Every named function also gives the nil constraint. Rows without guid or name
     give nothing.
     """
-    named = labelled.select("binary_id", "address", F.col("guid").alias("function_guid"), F.col("name").alias("symbol")).dropna()
+    named = labelled.select("binary_id", "address", once(F.col("guid")).alias("function_guid"), F.col("name").alias("symbol")).dropna()
     own = named.select("function_guid", F.lit(NIL).alias("constraint_guid"), "symbol")
     seen = constraints.select("binary_id", "address", F.col("guid").alias("constraint_guid")).dropna()
     linked = named.join(seen, ["binary_id", "address"]).select("function_guid", "constraint_guid", "symbol")

@@ -26,7 +26,7 @@ def tiers(hits: DataFrame, db: DataFrame) -> DataFrame:
 
     Result: binary_id, address, nil_name, single_name, common_name, each null
     where the tier has none; the intersection is only taken for functions without
-    a name from the tiers before. hits holds each constraint once a function.
+    a name from the tiers before. A constraint that hits holds twice counts once.
 
     Functions with equal GUID and equal constraints ask the same question, which
     is answered once. Only the smallest of a question's sets is spelled out; its
@@ -76,8 +76,9 @@ def match(functions: DataFrame, constraints: DataFrame, calls: DataFrame, db: Da
     stay unnamed. Rounds end when one names nothing, or after max_rounds.
 
     The database is cut down to the GUIDs at hand first and its names are counted,
-    so the first two tiers never spell out a set. Only functions next to newly
-    named ones are looked at again. Every round is written and read back.
+    so the first two tiers never spell out a set. A round looks only at functions
+    next to newly named ones, and what it sees of them is written once: what
+    earlier rounds saw stays where it was written.
     """
     functions = cut(functions.select(*KEY, F.col("guid").alias("function_guid")))
     calls = cut(calls.select("binary_id", "caller", "target", "address"))
@@ -91,17 +92,13 @@ def match(functions: DataFrame, constraints: DataFrame, calls: DataFrame, db: Da
 
     nil = known.select(*KEY, F.lit(g.NIL).alias("constraint_guid"))
     hits = cut(hit(static.select(*KEY, "constraint_guid").unionByName(nil)))
-    child = calls.select("binary_id", F.col("caller").alias("address"), F.col("target").alias("far"))
-    parent = calls.select("binary_id", F.col("target").alias("address"), F.col("caller").alias("far"))
+    ends = F.array(F.struct(F.col("caller").alias("address"), F.col("target").alias("far"), F.lit("child").alias("side")), F.struct(F.col("target").alias("address"), F.col("caller").alias("far"), F.lit("parent").alias("side")))
 
     def seen(named: DataFrame) -> DataFrame:
         """A row for each call edge to a named function: the constraint its name makes, and the round it was named in."""
-        far = named.select("binary_id", F.col("address").alias("far"), "symbol_name", "round")
-        made = [
-            edges.join(far, ["binary_id", "far"]).select(*KEY, to(F.col("symbol_name")).alias("constraint_guid"), "round")
-            for edges, to in ((child, g.symbol_child_call), (parent, g.symbol_parent_call))
-        ]
-        return made[0].unionByName(made[1])
+        far = named.select("binary_id", F.col("address").alias("far"), "round", g.symbol_calls(F.col("symbol_name")).alias("pair"))
+        made = F.when(F.col("side") == "child", F.col("pair.child")).otherwise(F.col("pair.parent"))
+        return calls.select("binary_id", F.inline(ends)).join(far, ["binary_id", "far"]).select(*KEY, made.alias("constraint_guid"), "round")
 
     named, fresh, round_ = None, None, 0
     while max_rounds is None or round_ < max_rounds:
@@ -109,8 +106,9 @@ def match(functions: DataFrame, constraints: DataFrame, calls: DataFrame, db: Da
         if fresh is None:
             look = hits
         else:
-            new = cut(hit(seen(fresh).select(*KEY, "constraint_guid").distinct()).join(named.select(*KEY), KEY, "left_anti"))
-            hits = cut(hits.join(named.select(*KEY), KEY, "left_anti").unionByName(new).distinct())
+            open_ = seen(fresh).select(*KEY, "constraint_guid").distinct().join(named.select(*KEY), KEY, "left_anti")
+            new = cut(hit(open_))
+            hits = hits.unionByName(new)
             look = hits.join(new.select(*KEY).distinct(), KEY, "left_semi")
         by_tier = tiers(look, db)
         name = F.coalesce("nil_name", "single_name", "common_name")

@@ -33,10 +33,10 @@ def with_section(rows: DataFrame, sections: DataFrame, how: str = "inner") -> Da
 
 
 def file_offsets(rows: DataFrame, sections: DataFrame) -> DataFrame:
-    """rows with file_offset; null and an error where no section, or no file data, holds the address."""
+    """rows with file_offset; null and an error where no section holds the address or its section has no file data."""
     out = with_section(rows, sections, "left")
     delta = F.col("rva") - F.col("section.virtual_address")
-    ok = F.col("section").isNotNull() & (delta < F.col("section.size_of_raw_data"))
+    ok = F.col("section").isNotNull() & (F.col("section.size_of_raw_data") > 0)
     return out.select(*rows.columns, F.when(ok, F.col("section.pointer_to_raw_data") + delta).alias("file_offset"), F.when(~F.coalesce(ok, F.lit(False)), "not mapped").alias("error"))
 
 

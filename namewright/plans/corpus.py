@@ -1,7 +1,8 @@
 """A corpus of two binaries made from the order tables: labelled 'ref' and changed 'tgt'.
 
-Parts are functions, order lines are calls, orders are references to constant
-data. A tenth of the bodies and a fifth of the calls differ in 'tgt'.
+Parts are functions, all order lines are calls, all orders are references to
+data, of which some are no string constants. In 'tgt' a tenth of the bodies differ and a fifth of
+the calls lead elsewhere.
 """
 
 from __future__ import annotations
@@ -57,23 +58,32 @@ def load(spark: SparkSession, sf_dir: str) -> Corpus:
         .withColumn("guid", g.function_guid(F.concat(g.block_guid(F.col("block1")), g.block_guid(F.col("block2")))))
     )
     n = part.select(F.count(F.lit(1)).alias("n"))  # one row
-    dropped = (F.col("binary_id") == "tgt") & (F.col("l_orderkey") % 5 == 0)
+    moved = F.when((F.col("binary_id") == "tgt") & (F.col("l_orderkey") % 5 == 0), 1).otherwise(0)
+    # Few lines call all over the program; the rest call one of nine library functions, which so have most of the calls.
+    anywhere = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") <= 2) & (F.col("l_quantity") <= 10)
+    target = F.when(anywhere, (F.col("l_suppkey") * 20 + F.col("l_orderkey") + moved) % F.col("n")).otherwise(F.floor(F.col("l_partkey") / (1 + 6 * (F.col("l_linenumber") % 3))) % 9)
     calls = (
         read("lineitem")
-        .filter("l_returnflag = 'R' AND l_linenumber <= 2 AND l_quantity <= 10")
         .join(F.broadcast(n))
         .select("*", both)
-        .filter(~dropped)
-        .select("binary_id", F.col("l_partkey").alias("caller"), ((F.col("l_suppkey") * 20 + F.col("l_orderkey")) % F.col("n")).alias("target"), (F.col("l_linenumber") * 16).cast("long").alias("off"))
+        .select("binary_id", F.col("l_partkey").alias("caller"), target.alias("target"), (F.col("l_linenumber") * 16).cast("long").alias("off"))
         .distinct()
         .select("binary_id", "caller", "target", (F.col("caller") + F.col("off")).alias("address"))
     )
+    o = F.col("o_orderkey")
     data = (
         read("orders")
-        .filter("o_orderkey % 11 = 0")
         .join(F.broadcast(n))
         .select("*", both)
-        .select("binary_id", (F.col("o_orderkey") % F.col("n")).alias("entry_point"), F.col("o_orderkey").alias("target"), F.lit(True).alias("is_readonly"), F.lit(None).cast("int").alias("estimated_size"), g.text_hex(F.concat("o_orderpriority", "o_orderstatus")).alias("bytes_hex"))
+        .select(
+            "binary_id",
+            (o % F.col("n")).alias("entry_point"),
+            o.alias("target"),
+            # Some references are to data that can be written, have a size of their own, or lead to no string.
+            (o % 5 != 3).alias("is_readonly"),
+            F.when(o % 7 == 2, F.lit(8)).alias("estimated_size"),
+            F.when(o % 13 != 6, g.text_hex(F.concat("o_orderpriority", "o_orderstatus"))).alias("bytes_hex"),
+        )
         .withColumn("address", F.col("entry_point") + 8)
     )
     return Corpus(functions, calls, data)
@@ -105,23 +115,27 @@ def _symbol(side: str, name: str) -> str:
 SQL = f"""
 both_ AS (SELECT unnest(['ref', 'tgt']) AS binary_id),
 n AS (SELECT count(*) AS n FROM part),
-fn AS (
+fn AS MATERIALIZED (
   SELECT binary_id, address, name, block1, block2, {v5_sql("function", f"concat({v5_sql('basic_block', 'block1')}, {v5_sql('basic_block', 'block2')})")} AS guid
   FROM (SELECT binary_id, p_partkey AS address, p_name || '#' || (p_partkey % 97)::VARCHAR AS name, {_hex('p_brand')} AS block1,
                {_hex("p_type || (p_size % 4)::VARCHAR || CASE WHEN binary_id = 'tgt' AND p_partkey % 10 = 0 THEN 'x' ELSE '' END")} AS block2 FROM part, both_)),
-call AS (
-  SELECT DISTINCT binary_id, l_partkey AS caller, (l_suppkey * 20 + l_orderkey) % n AS target, (l_linenumber * 16)::BIGINT AS off
-  FROM lineitem, both_, n WHERE l_returnflag = 'R' AND l_linenumber <= 2 AND l_quantity <= 10 AND NOT (binary_id = 'tgt' AND l_orderkey % 5 = 0)),
-data AS (
-  SELECT binary_id, o_orderkey % n AS address, o_orderpriority || o_orderstatus AS s FROM orders, both_, n WHERE o_orderkey % 11 = 0),
-cc AS (SELECT c.binary_id, caller AS address, {v5_sql("child_call", "guid")} AS guid, off FROM call c JOIN fn f ON c.binary_id = f.binary_id AND c.target = f.address),
-pc AS (SELECT c.binary_id, target AS address, {v5_sql("parent_call", "guid")} AS guid, off FROM call c JOIN fn f ON c.binary_id = f.binary_id AND c.caller = f.address),
-dc AS (SELECT binary_id, address, {v5_sql("data_const", _hex("s"))} AS guid, 8::BIGINT AS off FROM data),
-scc AS (SELECT c.binary_id, caller AS address, {_symbol("child", "name")} AS guid, off FROM call c JOIN fn f ON c.binary_id = f.binary_id AND c.target = f.address),
-spc AS (SELECT c.binary_id, target AS address, {_symbol("parent", "name")} AS guid, off FROM call c JOIN fn f ON c.binary_id = f.binary_id AND c.caller = f.address),
-con AS (SELECT * FROM cc UNION ALL SELECT * FROM pc UNION ALL SELECT * FROM dc),
+call AS MATERIALIZED (
+  SELECT DISTINCT binary_id, l_partkey AS caller, (l_linenumber * 16)::BIGINT AS off,
+    CASE WHEN l_returnflag = 'R' AND l_linenumber <= 2 AND l_quantity <= 10 THEN (l_suppkey * 20 + l_orderkey + CASE WHEN binary_id = 'tgt' AND l_orderkey % 5 = 0 THEN 1 ELSE 0 END) % n
+         ELSE l_partkey // (1 + 6 * (l_linenumber % 3)) % 9 END AS target
+  FROM lineitem, both_, n),
+data AS MATERIALIZED (
+  SELECT binary_id, o_orderkey % n AS address, o_orderpriority || o_orderstatus AS s, o_orderkey % 5 <> 3 AS is_readonly,
+         CASE WHEN o_orderkey % 7 = 2 THEN 8 END AS size, o_orderkey % 13 <> 6 AS is_string FROM orders, both_, n),
+ids AS MATERIALIZED (SELECT binary_id, address, {v5_sql("child_call", "guid")} AS cc, {v5_sql("parent_call", "guid")} AS pc, {_symbol("child", "name")} AS scc, {_symbol("parent", "name")} AS spc FROM fn),
+cc AS (SELECT c.binary_id, caller AS address, i.cc AS guid, off FROM call c JOIN ids i ON c.binary_id = i.binary_id AND c.target = i.address),
+pc AS (SELECT c.binary_id, target AS address, i.pc AS guid, off FROM call c JOIN ids i ON c.binary_id = i.binary_id AND c.caller = i.address),
+dc AS (SELECT binary_id, address, {v5_sql("data_const", _hex("s"))} AS guid, 8::BIGINT AS off FROM data WHERE is_readonly AND size IS NULL AND is_string),
+scc AS (SELECT c.binary_id, caller AS address, i.scc AS guid, off FROM call c JOIN ids i ON c.binary_id = i.binary_id AND c.target = i.address),
+spc AS (SELECT c.binary_id, target AS address, i.spc AS guid, off FROM call c JOIN ids i ON c.binary_id = i.binary_id AND c.caller = i.address),
+con AS MATERIALIZED (SELECT * FROM cc UNION ALL SELECT * FROM pc UNION ALL SELECT * FROM dc),
 lab AS (SELECT * FROM con UNION ALL SELECT * FROM scc UNION ALL SELECT * FROM spc),
-db AS (
+db AS MATERIALIZED (
   SELECT guid AS function_guid, '{g.NIL}' AS constraint_guid, name AS symbol FROM fn WHERE binary_id = 'ref'
   UNION
   SELECT f.guid, l.guid, f.name FROM fn f JOIN lab l USING (binary_id, address) WHERE binary_id = 'ref')
@@ -131,11 +145,11 @@ db AS (
 def _round_sql(r: int) -> str:
     """One synchronous round after the names so far, named{r - 1}."""
     return f"""
-named{r}a AS (SELECT * FROM named{r - 1}),
+named{r}a AS MATERIALIZED (SELECT *, {_symbol("child", "name")} AS scc, {_symbol("parent", "name")} AS spc FROM named{r - 1}),
 obs{r} AS MATERIALIZED (
   SELECT DISTINCT address, guid FROM con WHERE binary_id = 'tgt'
-  UNION SELECT caller, {_symbol("child", "m.name")} FROM call JOIN named{r}a m ON target = m.address WHERE binary_id = 'tgt'
-  UNION SELECT target, {_symbol("parent", "m.name")} FROM call JOIN named{r}a m ON caller = m.address WHERE binary_id = 'tgt'
+  UNION SELECT caller, m.scc FROM call JOIN named{r}a m ON target = m.address WHERE binary_id = 'tgt'
+  UNION SELECT target, m.spc FROM call JOIN named{r}a m ON caller = m.address WHERE binary_id = 'tgt'
   UNION SELECT address, '{g.NIL}' FROM fn WHERE binary_id = 'tgt'),
 hit{r} AS MATERIALIZED (
   SELECT o.address, f.guid AS fg, o.guid AS cg, a.n, a.only_symbol FROM obs{r} o JOIN fn f ON f.binary_id = 'tgt' AND f.address = o.address

@@ -378,11 +378,11 @@ def chain_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Sections of every binary, two of which overlap, and its functions by relative address."""
     sections = spark.createDataFrame(
-        [(1, ".text", 0x1000, 0x6000, 0x5800, 0x400, 0x60000020), (2, ".rdata", 0x7000, 0x3000, 0x3000, 0x5C00, 0x40000040), (3, ".data", 0x9000, 0x4000, 0x1000, 0x8C00, 0xC0000040)],
+        [(1, ".text", 0x1000, 0x6000, 0x5800, 0x400, 0x60000020), (2, ".rdata", 0x7000, 0x3000, 0x3000, 0x5C00, 0x40000040), (3, ".data", 0x9000, 0x4000, 0x1000, 0x8C00, 0xC0000040), (4, ".bss", 0xD000, 0x3000, 0, 0, 0xC0000080)],
         "idx int, name string, virtual_address long, virtual_size long, size_of_raw_data long, pointer_to_raw_data long, characteristics long",
     )
     binaries = _table(spark, sf_dir, "binaries").groupBy("binary_id").agg(F.max_by("image_base", "ingested_at").alias("image_base"))
-    sections = binaries.select("binary_id").join(F.broadcast(sections))  # three rows a binary
+    sections = binaries.select("binary_id").join(F.broadcast(sections))  # four rows a binary
     functions = _table(spark, sf_dir, "analyzed_functions").groupBy("function_id").agg(F.min("binary_id").alias("binary_id"), F.min("address").alias("address"), F.max("size").alias("size"))
     return functions.join(binaries, "binary_id").select("binary_id", "function_id", "size", (F.col("address") - F.col("image_base")).alias("rva")), sections
 
@@ -475,7 +475,7 @@ _C = f"WITH RECURSIVE {corpus.SQL}"
 _M = f"WITH RECURSIVE {corpus.MATCH_SQL}"
 _LAST = corpus.ROUNDS
 _SECTION = """
-s AS (SELECT * FROM (VALUES (1, '.text', 4096, 24576, 22528, 1024, 1610612768), (2, '.rdata', 28672, 12288, 12288, 23552, 1073741888), (3, '.data', 36864, 16384, 4096, 35840, 3221225536))
+s AS (SELECT * FROM (VALUES (1, '.text', 4096, 24576, 22528, 1024, 1610612768), (2, '.rdata', 28672, 12288, 12288, 23552, 1073741888), (3, '.data', 36864, 16384, 4096, 35840, 3221225536), (4, '.bss', 53248, 12288, 0, 0, 3221225600))
       t(idx, name, va, vs, raw, ptr, flags)),
 b AS (SELECT binary_id, arg_max(image_base, ingested_at) AS base FROM binaries GROUP BY ALL),
 f AS (SELECT function_id, min(binary_id) AS binary_id, min(address) AS address, max(size) AS size FROM analyzed_functions GROUP BY function_id),
@@ -572,11 +572,12 @@ SQL |= {
     "match_fixpoint": f"{_M} SELECT address, name AS symbol_name, round FROM named{_LAST}",
     "match_named_info": f"{_M} SELECT m.address, guid, m.name AS symbol_name FROM named{_LAST} m JOIN fn f ON f.binary_id = 'tgt' AND f.address = m.address",
     "match_summary": f"{_M} SELECT count(*) AS functions, count(m.name) AS matched FROM fn f LEFT JOIN named{_LAST} m ON f.address = m.address WHERE binary_id = 'tgt'",
-    "match_counts": f"""{_M}, me AS (SELECT f.address, f.guid AS fg, m.name, coalesce(m.round, 99) AS round FROM fn f LEFT JOIN named{_LAST} m ON f.address = m.address WHERE binary_id = 'tgt'),
+    "match_counts": f"""{_M}, ni AS MATERIALIZED (SELECT *, {corpus._symbol("child", "name")} AS scc, {corpus._symbol("parent", "name")} AS spc FROM named{_LAST}),
+        me AS (SELECT f.address, f.guid AS fg, m.name, coalesce(m.round, 99) AS round FROM fn f LEFT JOIN named{_LAST} m ON f.address = m.address WHERE binary_id = 'tgt'),
         seen AS (
           SELECT address, guid, 0 AS r FROM con WHERE binary_id = 'tgt'
-          UNION ALL SELECT caller, {corpus._symbol("child", "m.name")}, m.round FROM call JOIN named{_LAST} m ON target = m.address WHERE binary_id = 'tgt'
-          UNION ALL SELECT target, {corpus._symbol("parent", "m.name")}, m.round FROM call JOIN named{_LAST} m ON caller = m.address WHERE binary_id = 'tgt'),
+          UNION ALL SELECT caller, m.scc, m.round FROM call JOIN ni m ON target = m.address WHERE binary_id = 'tgt'
+          UNION ALL SELECT target, m.spc, m.round FROM call JOIN ni m ON caller = m.address WHERE binary_id = 'tgt'),
         vis AS (SELECT me.address, fg, s.guid FROM me JOIN seen s ON s.address = me.address AND s.r < me.round)
         SELECT me.address, me.name AS symbol_name,
           (SELECT count(DISTINCT v.guid) FROM vis v JOIN agg a ON a.function_guid = v.fg AND a.constraint_guid = v.guid WHERE v.address = me.address) AS matched_constraints,
@@ -590,8 +591,8 @@ SQL |= {
         SELECT address FROM reach""",
     "chain_roots": f"WITH RECURSIVE {_UNWIND} SELECT start FROM roots",
     "chain_ranges": f"""WITH RECURSIVE {_UNWIND} SELECT min(u.start) AS start, max(u."end") AS "end" FROM fam JOIN u ON u.start = here GROUP BY root""",
-    "range_join_section": f"""WITH {_SECTION} SELECT function_id, CASE WHEN rva - va < raw THEN ptr + rva - va END AS file_offset,
-        CASE WHEN rva - va < raw THEN NULL ELSE 'not mapped' END AS error FROM j LEFT JOIN s USING (idx)""",
+    "range_join_section": f"""WITH {_SECTION} SELECT function_id, CASE WHEN raw > 0 THEN ptr + rva - va END AS file_offset,
+        CASE WHEN raw > 0 THEN NULL ELSE 'not mapped' END AS error FROM j LEFT JOIN s USING (idx)""",
     "address_writable": f"WITH {_SECTION} SELECT function_id, coalesce(flags & 2147483648 <> 0, false) AS writable FROM j LEFT JOIN s USING (idx)",
     "functions_by_section": f"WITH {_SECTION} SELECT function_id, idx AS section_idx, name AS section_name, rva - va AS section_offset FROM j JOIN s USING (idx)",
     "section_modules": f"WITH {_SECTION} SELECT binary_id, idx AS section_idx, count(*) AS functions, sum(size)::BIGINT AS code_size FROM j JOIN s USING (idx) GROUP BY ALL",

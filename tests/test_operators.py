@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from namewright.functions import guid as g
 from namewright.operators import blocks, constraints, database, graph, matching, procedures, ranges
+from namewright.plans import corpus
 
 A, B, C, D = ("41" * 16, "42" * 16, "43" * 16, "44" * 16)
 C1, C2 = "01" * 16, "02" * 16
@@ -145,3 +146,36 @@ def test_sweep(spark, rows, bounds, last, expected):
 def test_first_names(spark, rows):
     df = spark.createDataFrame([("x", 1, 2, 0, "b"), ("x", 1, 0, 5, "c"), ("x", 1, 0, 3, "a"), ("x", 2, 1, 1, None), ("x", 2, 1, 2, "z")], "binary_id string, address long, producer_idx int, symbol_idx int, name string")
     assert rows(procedures.first_names(df)) == [("x", 1, "a"), ("x", 2, None)]
+
+
+def _hashes(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("sha1(")
+
+
+def test_each_guid_is_hashed_once(spark):
+    """Per function: two blocks and itself, two call constraints, the name and two of its constraints; per reference: its bytes."""
+    folder = "/root/testdata/sf0.001"
+    c = corpus.load(spark, folder)
+    assert _hashes(c.functions) == 3
+    assert _hashes(c.static()) == 3 + 2 + 1
+    assert _hashes(constraints.distinct_constraints(c.labelled())) <= 3 + 2 + 3 + 1
+    # The database joins the functions again for their own GUIDs.
+    assert _hashes(corpus.reference_db(c)) == 2 * 3 + 3 + 2 + 3 + 1
+
+
+def test_chains_of_any_depth_and_circles(spark, rows):
+    data = [(i, i + 1, i - 1 if i else None) for i in range(70)] + [(100, 101, 102), (101, 102, 100), (102, 103, 101), (103, 104, 102), (200, 201, 199), (201, 202, 200)]
+    df = spark.createDataFrame([("x", i, *r) for i, r in enumerate(data)], "binary_id string, ordinal long, start long, end long, chained_start long")
+    assert rows(graph.chain_ranges(df)) == [("x", 0, 70)]
+
+
+def test_reach_over_a_long_path(spark):
+    edges = spark.createDataFrame([("x", i, i + 1) for i in range(12)], "binary_id string, caller long, target long")
+    assert graph.reachable(spark.createDataFrame([("x", 0)], "binary_id string, address long"), edges).count() == 13
+
+
+def test_instructions_in_blocks(spark, rows):
+    spans = spark.createDataFrame([("x", 1, 0, 4), ("x", 1, 6, 8), ("y", 1, 0, 2)], "binary_id string, entry_point long, start long, end long")
+    code = spark.createDataFrame([("x", 1, i, f"{i:02x}") for i in range(10)] + [("y", 1, 1, "ff"), ("z", 1, 1, "ee")], "binary_id string, entry_point long, ip long, code string")
+    got = rows(blocks.within_blocks(code, spans, "code"))
+    assert got == [("x", 1, 0, 4, i, f"{i:02x}") for i in range(4)] + [("x", 1, 6, 8, i, f"{i:02x}") for i in (6, 7)] + [("y", 1, 0, 2, 1, "ff")]
