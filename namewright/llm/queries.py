@@ -166,7 +166,7 @@ def _cut(spark: SparkSession, sf_dir: str) -> truncation.Truncation:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose text was cut."""
-    return _cut(spark, sf_dir).cut.select(F.col("id").alias("doc_id"))
+    return _cut(spark, sf_dir).found.select(F.col("id").alias("doc_id"))
 
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +174,11 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cut(spark, sf_dir).rates.select("source", "texts", "cut", F.round("rate", 6).alias("rate"))
 
 
+def p8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut pages by source and by what shows that they were cut."""
+    return _cut(spark, sf_dir).found.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("texts"))
+
+
 def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths at which significantly many texts of a source end."""
     return _cut(spark, sf_dir).limits.select("source", "unit", "length", "texts", "at_risk", F.round("expected", 6).alias("expected"))
@@ -245,19 +250,60 @@ g AS (SELECT DISTINCT kind, id, unnest([array_to_string(words[i : i + 11], ' ')
 pairs AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared FROM g d JOIN g i ON d.gram = i.gram AND d.kind = 0 AND i.kind = 1 GROUP BY ALL)
 """
 _AROUND = """(PARTITION BY source, unit ORDER BY length RANGE BETWEEN {} AND {})"""
-_P8 = f"""
-WITH d AS (SELECT coalesce(lower(trim(source)), '') AS source, text, rtrim(text, '\ufffd') AS whole FROM documents WHERE doc_id IS NOT NULL AND trim(text) <> ''),
-l AS (SELECT source, 'chars' AS unit, length(text) AS length FROM d
-      UNION ALL SELECT source, 'bytes', strlen(whole) + least(length(text) - length(whole), 1) FROM d),
-e AS (SELECT source, unit, length, count(*) AS texts FROM l GROUP BY ALL),
-h AS (SELECT *, sum(texts) OVER {_AROUND.format("CURRENT ROW", "UNBOUNDED FOLLOWING")}::BIGINT AS at_risk,
-        (greatest(coalesce(sum(texts) OVER {_AROUND.format("64 PRECEDING", "1 PRECEDING")}, 0), coalesce(sum(texts) OVER {_AROUND.format("1 FOLLOWING", "64 FOLLOWING")}, 0)) + 1) / 64.0::DOUBLE AS expected FROM e),
-t AS (SELECT *, least(floor(CASE WHEN texts > expected THEN texts * ln(texts / expected) - texts + expected ELSE 0 END / ln(10) * 20), 8000) AS step FROM h),
-r AS (SELECT step, sum(count(*)) OVER (ORDER BY step DESC) AS upto, sum(count(*)) OVER () AS every FROM t GROUP BY step),
-b AS (SELECT min(step) AS least FROM r WHERE pow(10, -step / 20) <= 0.01 * upto / every)
+_LENGTHS = """(SELECT source, 'chars' AS unit, length(text) AS length FROM {0}
+      UNION ALL SELECT source, 'bytes', strlen(whole) + least(length(text) - length(whole), 1) FROM {0})"""
+
+
+def _limits_sql(p: str, lengths: str) -> str:
+    """Significant lengths of a subquery with source, unit and length, as {p}limits."""
+    return f"""
+{p}e AS (SELECT source, unit, length, count(*) AS texts FROM {lengths} GROUP BY ALL),
+{p}h AS (SELECT *, sum(texts) OVER {_AROUND.format("CURRENT ROW", "UNBOUNDED FOLLOWING")}::BIGINT AS at_risk,
+        (greatest(coalesce(sum(texts) OVER {_AROUND.format("64 PRECEDING", "1 PRECEDING")}, 0), coalesce(sum(texts) OVER {_AROUND.format("1 FOLLOWING", "64 FOLLOWING")}, 0)) + 1) / 64.0::DOUBLE AS expected FROM {p}e),
+{p}t AS (SELECT *, least(floor(CASE WHEN texts > expected THEN texts * ln(texts / expected) - texts + expected ELSE 0 END / ln(10) * 20), 8000) AS step FROM {p}h),
+{p}r AS (SELECT step, sum(count(*)) OVER (ORDER BY step DESC) AS upto, sum(count(*)) OVER () AS every FROM {p}t GROUP BY step),
+{p}b AS (SELECT min(step) AS least FROM {p}r WHERE pow(10, -step / 20) <= 0.01 * upto / every),
+{p}limits AS (SELECT source, unit, length, texts, at_risk, expected FROM {p}t, {p}b WHERE step >= {p}b.least AND texts >= 3)
+"""
+
+
+_PLAIN = r"regexp_replace(regexp_replace({0}, '(^|\s)\S*\.[a-z]{{2}}\S*', '\1H', 'g'), '[0-9]+', '9', 'g')"
+_BLANK = r"(' ' || chr(10) || chr(13) || chr(9) || ' ')"
+_LINE_WORDS = r"greatest(len(regexp_split_to_array(trim({0}), '\s+')), length(regexp_replace({0}, '[^\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Khmer}}\p{{Myanmar}}]', '', 'g')) // 4)"
+_DOCS = r"""
+d AS (SELECT doc_id, coalesce(lower(trim(source)), '') AS source, text, rtrim(text, '�') AS whole, headers, raw_bytes FROM documents WHERE doc_id IS NOT NULL),
+dt AS (SELECT * FROM d WHERE trim(text) <> '')
+"""
+_P8 = f"WITH {_DOCS}, {_limits_sql('', _LENGTHS.format('dt'))}"
+_P8_CUT = rf"""
+WITH {_DOCS}, od AS (SELECT DISTINCT source, length(text) AS n, strlen(whole) + least(length(text) - length(whole), 1) AS m, {_PLAIN.format("text")} AS copy FROM dt),
+{_limits_sql("own_", "(SELECT source, 'chars' AS unit, n AS length FROM od UNION ALL SELECT source, 'bytes', m FROM od)")},
+near AS (SELECT source, unit, length FROM own_limits UNION SELECT '', unit, length FROM own_limits),
+l1 AS (SELECT *, rtrim(split_part(rtrim(text, {_BLANK}), chr(10), -1), {_BLANK}) AS line FROM dt),
+l2 AS (SELECT *, rtrim(left(line, length(line) - length(regexp_extract(line,
+  '(((\s*(\[\s*(…|\.\.\.)\s*\]|\(\s*(…|\.\.\.)\s*\)|…|\.\.\.+|вЂ¦|â€¦|â\x{{80}}¦))+|(^|[^\s�]\s)�)$)', 1)) + CASE WHEN regexp_matches(line, '[^\s�]\s�$') THEN 2 ELSE 0 END), {_BLANK}) AS line_end FROM l1),
+l3 AS (SELECT *, lower(raw_bytes::VARCHAR) AS page, try_cast(nullif(regexp_extract(headers, '(?im)^content-length:[ \t]*([0-9]+)', 1), '') AS BIGINT) AS declared,
+  coalesce(NOT contains(lower(headers), 'content-encoding'), true) AS plain, octet_length(raw_bytes) AS n FROM l2
+  WHERE line_end <> '' AND NOT contains('.!?。！？؟।｡．။', right('x' || rtrim(line_end, '"''”’»)]」』）】》〉'), 1))),
+l4 AS (SELECT *, split_part(page, '</html', -1) AS after, contains(page, '<html') AS opened FROM l3),
+l5 AS (SELECT *, contains(page, '</html') AND (contains(split_part(after, '</script', 1), '<script') OR NOT contains(after, '</script'))
+  AND (contains(split_part(after, '-->', 1), '<!--') OR NOT contains(after, '-->')) AS closed FROM l4),
+l6 AS (SELECT *, coalesce(opened AND NOT closed, false) OR coalesce(plain AND declared > n, false) AS broken FROM l5),
+l7 AS (SELECT *, NOT broken AND (coalesce(opened AND closed, false) OR coalesce(plain AND declared = n AND n > 0, false)) AS is_whole,
+  EXISTS (SELECT 1 FROM near WHERE near.source = l6.source AND ((unit = 'chars' AND near.length = length(l6.text)) OR (unit = 'bytes' AND near.length = strlen(whole) + least(length(l6.text) - length(whole), 1)))) AS at_limit,
+  {_PLAIN.format("line_end")} AS shape, contains(line_end, '|') AS several, string_split(line_end, '|') AS entries FROM l6),
+l8 AS (SELECT *, regexp_matches(line_end, '^.{{0,2}}©') OR (several AND len(list_filter(entries, lambda e: {_LINE_WORDS.format("e")} > 4)) = 0) AS framed,
+  {_LINE_WORDS.format("entries[-1]")} >= CASE WHEN several THEN 5 ELSE 3 END AND NOT regexp_matches(line_end, '[•·>]|( [-–] .*){{2}}|\S {{2,}}\S.* {{2}}') AS sentence FROM l7),
+found AS (SELECT doc_id, source FROM l8 WHERE ((at_limit AND NOT framed) OR broken OR (NOT is_whole AND sentence AND NOT framed))
+  AND shape NOT IN (SELECT shape FROM l8 WHERE is_whole AND NOT at_limit))
 """
 SQL |= {
-    "p8_limits": f"{_P8} SELECT source, unit, length, texts, at_risk, round(expected, 6) AS expected FROM t, b WHERE step >= b.least AND texts >= 3",
+    "p8_limits": f"{_P8} SELECT source, unit, length, texts, at_risk, round(expected, 6) AS expected FROM limits",
+    "p8_found": f"{_P8_CUT} SELECT doc_id FROM found",
+    "p8_rates": f"""{_P8_CUT} SELECT source, texts, coalesce(cut, 0) AS cut, round(coalesce(cut, 0) / texts, 6) AS rate
+        FROM (SELECT source, count(*) AS texts FROM d GROUP BY ALL) LEFT JOIN (SELECT source, count(*) AS cut FROM found GROUP BY ALL) USING (source)""",
+    "p8_reasons": f"""{_P8_CUT} SELECT source, CASE WHEN at_limit AND NOT framed THEN 'limit' WHEN broken THEN 'transfer' ELSE 'ending' END AS reason, count(*) AS texts
+        FROM found JOIN l8 USING (doc_id, source) GROUP BY ALL""",
     "p6_found": f"{_P6} SELECT doc_id, item_id FROM pairs",
     "p6_items": f"""{_P6} SELECT item_id, count(DISTINCT doc_id) AS pages, round(max(shared / runs), 6) AS part FROM pairs
         JOIN (SELECT id AS item_id, count(*) AS runs FROM g WHERE kind = 1 GROUP BY ALL) USING (item_id) GROUP BY item_id""",
@@ -265,5 +311,5 @@ SQL |= {
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_links, p3_found, p3_scores, p4_found, p4_counts, p4_runs, p5_found, p5_top, p6_found, p6_items, p7_found, p7_shares, p7_mix, p8_found, p8_rates, p8_limits)
+    for f in (p2_found, p2_links, p3_found, p3_scores, p4_found, p4_counts, p4_runs, p5_found, p5_top, p6_found, p6_items, p7_found, p7_shares, p7_mix, p8_found, p8_rates, p8_reasons, p8_limits)
 }

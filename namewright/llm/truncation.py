@@ -2,8 +2,9 @@
 
 A limit of a field shows as a length at which far more of a source's texts end
 than at the lengths around it: the hazard of ending there stands out. Texts of
-such a length that end inside a sentence are cut. Transfers break at any length;
-there the received body tells, or else the last line itself.
+such a length that end inside a sentence are cut. Transfers break at any length
+and leave no such trace; there the received body tells, or, where no body is
+kept, the last line itself. Pages known to be whole show what lines pages end with.
 """
 
 from __future__ import annotations
@@ -14,16 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namewright.operators.skew import once
+from namewright.session import cut
 
 #: Lengths on either side that a length is held against.
 AROUND = 64
 #: False-discovery rate of significant lengths, and the least texts of such a length.
 RATE, LEAST = 0.01, 3
-#: A last line in more than this share of the different texts, and in two of them, is part of the
-#: pages' frame; at most 1/OFTEN lines are.
-OFTEN = 2e-5
-#: In more than this share of the different texts, it is so whatever else speaks for a cut.
-ALWAYS = 2e-3
 #: Words of a last line that can show by itself that a sentence was under way.
 WORDS = 3
 #: Most words of an entry of a footer whose entries '|' sets apart.
@@ -32,27 +29,28 @@ ENTRY = 4
 PER_WORD = 4
 
 # Marks of omission (also as they look after a wrong decoding), ends of
-# sentences, and signs that set the entries of menus and footers apart.
-MARK = r"((\s*(\[\s*(…|\.\.\.)\s*\]|\(\s*(…|\.\.\.)\s*\)|…|\.\.\.+|вЂ¦|â€¦|â\x80¦))+|(?<=[^\s�]\s)�)$"
-STOP = r"[.!?。！？؟।｡．។။][\"'”’»)\]」』）】》〉]*$"
+# sentences and what may close them, and signs that set the entries of menus and footers apart.
+MARK = r"(((?<!\s)\s*+(\[\s*+(…|\.\.\.)\s*+\]|\(\s*+(…|\.\.\.)\s*+\)|…|(?<!\.)\.{3,}+|вЂ¦|â€¦|â\x80¦))+|(?<=[^\s�]\s)�)$"
+MARKS = " \t\r.…[]()вЂ¦â€¦\x80�"
+STOPS = ".!?。！？؟।｡．။"
+CLOSERS = "\"'”’»)]」』）】》〉"
 FRAME = r"^.{0,2}©"
 MENU = r"[•·>]|( [-–] .*){2}|\S {2,}+\S.* {2}"
-#: Characters at the end of a line in which a mark or an end of a sentence is looked for.
-TAIL = 80
 # No pattern here goes back over what it has read more than once a line, however long the line.
 # Thai and Lao are left out: no mark ends their sentences, so their last lines tell nothing.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsKhmer}\p{IsMyanmar}"
 HOST = r"(?<!\S)\S*\.[a-z]{2}\S*"
+BLANK = " \n\r\t "
 
 
 @dataclass
 class Truncation:
     """limits(source, unit, length, texts, expected): significant lengths;
-    cut(id, source, reason): the cut texts, reason being limit, transfer or ending;
+    found(id, source, reason): the cut texts, reason being limit, transfer or ending;
     rates(source, texts, cut, rate)."""
 
     limits: DataFrame
-    cut: DataFrame
+    found: DataFrame
     rates: DataFrame
 
 
@@ -100,8 +98,25 @@ def _words(text: Column) -> Column:
     return F.greatest(F.size(F.split(F.trim(text), r"\s+")), F.floor(unspaced / PER_WORD))
 
 
-def _broken(headers: Column, body: Column) -> Column:
-    """Whether a received body ends early: a page that never closes, or less than the length declared for it."""
+def _last_line(text: Column) -> Column:
+    """The last line that is not blank, without a mark of omission at its end."""
+    line = F.rtrim(F.substring_index(F.rtrim(text, F.lit(BLANK)), "\n", -1), F.lit(BLANK))
+    # A mark lies wholly in what the characters of marks make up at the end of the line; one more character tells what it follows.
+    tail = F.substring(line, F.greatest(F.lit(1), F.length(F.rtrim(line, F.lit(MARKS)))), F.length(line))
+    return F.rtrim(F.substring(line, F.lit(1), F.length(line) - F.length(F.regexp_extract(tail, MARK, 0))), F.lit(BLANK))
+
+
+def _ended(line: Column) -> Column:
+    """Whether a line ends with the end of a sentence."""
+    return F.right(F.rtrim(line, F.lit(CLOSERS)), F.lit(1)).isin(list(STOPS))
+
+
+def _received(headers: Column, body: Column) -> tuple[Column, Column]:
+    """Whether a received body ends early, and whether it is known to be whole; neither where nothing tells.
+
+    A page ends early that never closes, as does anything shorter than the length
+    declared for it. It is whole if it closes, or, being no page, has its declared length.
+    """
     page = F.lower(F.decode(body, "ISO-8859-1"))
     after = F.substring_index(page, "</html", -1)
     # What a script or a comment holds is no closing tag; such a one ends after it without having begun there.
@@ -110,28 +125,39 @@ def _broken(headers: Column, body: Column) -> Column:
     closed = F.contains(page, F.lit("</html")) & outside("<script", "</script") & outside("<!--", "-->")
     declared = F.expr("try_cast(regexp_extract(_headers, '(?im)^content-length:[ \\\\t]*([0-9]+)', 1) AS BIGINT)")
     plain = ~F.coalesce(F.lower(headers).contains("content-encoding"), F.lit(False))
-    return F.coalesce((opened & ~closed) | (plain & (declared > F.octet_length(body))), F.lit(False))
+    short = F.coalesce(plain & (declared > F.octet_length(body)), F.lit(False))
+    broken = F.coalesce(opened & ~closed, F.lit(False)) | short
+    whole = ~broken & (F.coalesce(opened & closed, F.lit(False)) | F.coalesce(plain & (declared == F.octet_length(body)) & (declared > 0), F.lit(False)))
+    return broken, whole
 
 
 def find_truncated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", headers: str | None = "headers", body: str | None = "raw_bytes") -> Truncation:
     """Cut texts, the limits that cut them, and the share of cut texts by source.
 
-    A text is cut if it does not end with the end of a sentence, a mark of
-    omission left aside, its last line is not part of the pages' frame, and
-    either it has a significant length of its source (limit), or its received
-    body breaks off (transfer), or its last line, or what follows the last '|' there,
-    has words enough for a sentence and the line occurs hardly anywhere else (ending);
-    one or two words after a line break are no sign by themselves. Copies tell nothing about where a text
-    ends: texts alike but for hosts and numbers count once where last lines and
-    lengths are judged here, while limits counts every row. Sources are compared trimmed and in
-    lower case, a missing one is a source of its own. Null and blank texts are
-    never cut; rows without id are ignored; repeated rows count each time; without
-    headers or bodies the other signs decide; an empty table gives empty results;
-    other columns are ignored whatever their names.
-
-    Documents are never shuffled: two scans shuffle hashes of texts with their
-    lengths or hashed last lines, the third reads bodies and joins the significant
-    lengths and the frequent last lines, both broadcast and bounded by 1/OFTEN rows.
+    A text is cut if its last line, a mark of omission left aside, does not end
+    with the end of a sentence, no page known to be whole ends with such a line
+    (numbers and hosts apart), and
+
+    - limit: it has a significant length of its source and does not look like a footer;
+    - transfer: its received body ends early;
+    - ending: nothing is known of its body, and the last line, or what follows the last
+      '|' there, has words enough for a sentence and no signs of a menu. One or
+      two words after a line break are no sign by themselves.
+
+    A page is known to be whole if its body is and it has no significant length.
+    Nothing is counted here: a text is judged alike in a table of any size, and
+    copies do not matter. Copies tell nothing about limits either: texts alike but for hosts and
+    numbers count once where lengths are judged here, while limits counts every
+    row. Sources are compared trimmed and in lower case, a missing one is a source
+    of its own, whose texts may have the limit of any. Null and blank texts are never cut; rows without id are ignored;
+    repeated rows count each time; without headers or bodies the other signs decide; an empty
+    table gives empty results; other columns are ignored whatever their names.
+
+    Texts are never shuffled: one scan shuffles hashes of texts with their lengths,
+    the other reads bodies, joins the significant lengths (a few a source, a row
+    for each source) and writes flags and a hashed last line of texts that end
+    without a sentence's end. Lines of whole pages are distinct before
+    the join, so a line with a third of all pages meets one row.
     """
     t = F.col("_text")
     none = F.lit(None)
@@ -149,37 +175,31 @@ def find_truncated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", s
     sizes = base.filter(F.trim(t) != "").select("source", *[n.alias(u) for u, n in _lengths(t).items()], copy)
     limits = length_limits(sizes.select("source", by_unit))
     own = length_limits(sizes.distinct().select("source", by_unit))
+    # A text without a source may come from any, so it is held against all limits.
+    every_limit = own.select("source", "unit", "length").unionByName(own.select(F.lit("").alias("source"), "unit", "length"))
+    near = every_limit.groupBy("source").agg(F.collect_set(F.struct("unit", F.col("length").cast("int").alias("length"))).alias("_limits"))
 
-    blank = F.lit(" \n\r\t ")
-    line = F.rtrim(F.substring_index(F.rtrim(t, blank), "\n", -1), blank)
-    mark = F.length(F.regexp_extract(F.right(line, F.lit(TAIL)), MARK, 0))
-    end = F.rtrim(F.substring(line, F.lit(1), F.length(line) - mark), blank)
-    shape = F.xxhash64(plain(F.col("_end")))
-    texts = base.filter(F.trim(t) != "").select(once(end).alias("_end"), copy).select(shape.alias("_shape"), "_copy").distinct()
-    lines = texts.groupBy("_shape").agg(F.count(F.lit(1)).alias("_n"))
-    over = lambda share: F.col("_n") > F.greatest(F.lit(1.0), share * F.col("_all"))
-    # More than OFTEN of all different texts each: at most 1/OFTEN rows.
-    frame = F.broadcast(lines.join(F.broadcast(lines.agg(F.sum("_n").alias("_all")))).filter(over(OFTEN)).select("_shape", over(ALWAYS).alias("_always")))
-
-    near = own.groupBy("source").agg(F.collect_set(F.struct("unit", F.col("length").cast("int").alias("length"))).alias("_limits"))
-    ended = (
-        base.withColumn("_end", once(end))
-        .withColumn("_shape", once(shape))
-        .filter((F.col("_end") != "") & ~F.rlike(F.right("_end", F.lit(TAIL)), F.lit(STOP)))
-        .join(frame, "_shape", "left")
-        .join(F.broadcast(near), "source", "left")
-    )
     at_limit = F.lit(False)
     for u, n in _lengths(t).items():
         at_limit = at_limit | F.coalesce(F.array_contains(F.col("_limits"), F.struct(F.lit(u).alias("unit"), n.cast("int").alias("length"))), F.lit(False))
-    rare = ~F.coalesce(F.col("_always"), F.lit(False))
+    broken, whole = _received(F.col("_headers"), F.col("_body"))
     entries = F.split(F.col("_end"), r"\|")
     last, several = F.substring_index(F.col("_end"), "|", -1), F.contains(F.col("_end"), F.lit("|"))
     framed = F.rlike(F.col("_end"), F.lit(FRAME)) | (several & F.forall(entries, lambda e: _words(e) <= ENTRY))
-    sentence = _words(last) >= F.when(several, F.lit(ENTRY + 1)).otherwise(F.lit(WORDS))
-    alone = F.col("_always").isNull() & sentence & ~framed & ~F.rlike(F.col("_end"), F.lit(MENU))
-    reason = F.when(rare & at_limit & ~framed, "limit").when(rare & _broken(F.col("_headers"), F.col("_body")), "transfer").when(alone, "ending")
-    found = ended.select("id", "source", reason.alias("reason")).filter("reason IS NOT NULL")
+    sentence = (_words(last) >= F.when(several, F.lit(ENTRY + 1)).otherwise(F.lit(WORDS))) & ~F.rlike(F.col("_end"), F.lit(MENU))
+    open_ = cut(
+        base.withColumn("_end", once(_last_line(t)))
+        .filter((F.col("_end") != "") & ~_ended(F.col("_end")))
+        .join(near, "source", "left")
+        .select("id", "source", F.xxhash64(plain(F.col("_end"))).alias("shape"), at_limit.alias("at_limit"), broken.alias("broken"), whole.alias("whole"), framed.alias("framed"), sentence.alias("sentence"))
+    )
+    reason = (
+        F.when(F.col("at_limit") & ~F.col("framed"), "limit")
+        .when(F.col("broken"), "transfer")
+        .when(~F.col("whole") & F.col("sentence") & ~F.col("framed"), "ending")
+    )
+    endings = open_.filter("whole AND NOT at_limit").select("shape").distinct()
+    found = open_.select("id", "source", "shape", reason.alias("reason")).filter("reason IS NOT NULL").join(endings, "shape", "left_anti").select("id", "source", "reason")
 
     every = base.groupBy("source").agg(F.count(F.lit(1)).alias("texts"))
     bad = found.groupBy("source").agg(F.count(F.lit(1)).alias("cut"))

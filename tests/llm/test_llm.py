@@ -288,18 +288,18 @@ def test_truncation(spark):
     found = truncation.find_truncated(df)
     limits = {(r.source, r.unit, r.length) for r in found.limits.collect()}
     assert limits >= {("one", "chars", 400), ("one", "bytes", 400)}
-    got = {r.id for r in found.cut.collect()}
+    got = {r.id for r in found.found.collect()}
     assert len(cut & got) >= 0.97 * len(cut) and len(got - cut) <= 0.03 * len(cut)
     rates = {r.source: r for r in found.rates.collect()}
     assert sum(r.cut for r in rates.values()) == len(got) and set(rates) == {"one", "two", ""}
     none = truncation.find_truncated(df.limit(0))
-    assert none.cut.count() == none.limits.count() == none.rates.count() == 0
+    assert none.found.count() == none.limits.count() == none.rates.count() == 0
 
 
 def _found(spark, docs):
     """Reasons of the cut texts of (id, text, source, raw_bytes)."""
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, raw_bytes binary").withColumn("headers", F.lit("HTTP/1.1 200 OK"))
-    return {r.id: r.reason for r in truncation.find_truncated(df).cut.collect()}
+    return {r.id: r.reason for r in truncation.find_truncated(df).found.collect()}
 
 
 def test_copies_of_a_cut_text_are_found(spark):
@@ -358,3 +358,31 @@ def test_byte_lengths_of_halved_characters(spark):
     text = ("д" * 30).encode()[:41].decode("utf-8", "replace")
     df = spark.createDataFrame([(text,)], "t string").select(truncation._lengths(F.col("t"))["bytes"].alias("n"))
     assert df.first().n == 41
+
+
+def test_cut_texts_do_not_depend_on_other_pages(spark):
+    docs = [(1, "Some notice.\nThe garden near an engi", "a", None), (2, "Names.\nBack to our first page", "a", None), (3, "Closed.\nBack to our first page", "a", b"<html>x</html>"), (4, "Shown.\nOur river meets the old gard", "a", b"<html>x</html>")]
+    alone = _found(spark, docs)
+    assert alone == {1: "ending"}
+    more = [(100 + i, prose(rng.randrange(300, 3000)) + rng.choice(["", "\nThe garden near an engi"]), "b", None) for i in range(3000)]
+    assert {i: r for i, r in _found(spark, docs + more).items() if i < 100} == alone
+
+
+def test_very_long_lines_and_marks(spark):
+    docs = [
+        (1, "river " * 50_000 + "garden" + " ..." * 300, "a", None),  # cut
+        (2, "river " * 50_000 + "garden." + "\"')" * 3000, "a", None),
+        (3, "river " * 50_000 + " " * 50_000 + "( " * 20_000 + "gard", "a", None),  # cut
+        (4, "river garden window." + "." * 100_000, "a", None),
+        (5, "the old river keeps" + "." * 100_000, "a", None),  # cut, with a long mark
+        (6, "..." * 1000, "a", None),
+    ]
+    assert _found(spark, docs) == {1: "ending", 3: "ending", 4: "ending", 5: "ending"}
+
+
+def test_texts_without_a_source_have_the_limits_of_all(spark):
+    closed = b"<html><body>...</body></html>"
+    docs = [(i, (prose(700)[:449] + "n")[:450] if i < 60 else prose(rng.randrange(300, 3000)), "s", closed) for i in range(200)]
+    docs += [(500, prose(700)[:449] + "n", None, closed), (501, prose(700)[:447] + "n", None, closed)]
+    got = _found(spark, docs)
+    assert got[500] == "limit" and 501 not in got
