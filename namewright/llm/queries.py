@@ -11,6 +11,8 @@ from namewright.operators.skew import heavy_hashes, once
 
 #: Least size of a function's set in p2_found and p3_found.
 LEAST = 5
+#: Seed of the order in which pages are chosen for a mix.
+SEED = 7
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,7 +144,21 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
     docs = tokens.with_tokens(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
-    return mixing.mix_sources(docs.withColumnRenamed("doc_id", "id"), _table(spark, sf_dir, "source_targets"), seed=7)
+    return mixing.mix_sources(docs.withColumnRenamed("doc_id", "id"), _table(spark, sf_dir, "source_targets"), seed=SEED)
+
+
+def _byte_mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    """The mix by bytes of text, which SQL can count, too."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.octet_length("text").alias("tokens"))
+    return mixing.mix_sources(docs, _table(spark, sf_dir, "source_targets"), seed=SEED)
+
+
+def _shares(mix: mixing.Mix) -> DataFrame:
+    return mix.report().select("source", "target_share", "tokens", "mixed", F.round("reached_share", 6).alias("reached_share"), "short")
+
+
+def _chosen(mix: mixing.Mix) -> DataFrame:
+    return mix.chosen.select(F.col("id").alias("doc_id"), "source", "repeats", "tokens")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,12 +168,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached share of every listed source."""
-    return _mix(spark, sf_dir).report().select("source", "target_share", "tokens", "mixed", F.round("reached_share", 6).alias("reached_share"), "short")
+    return _shares(_mix(spark, sf_dir))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages of the mix and how often each is used."""
-    return _mix(spark, sf_dir).chosen.select(F.col("id").alias("doc_id"), "source", "repeats", "tokens")
+    return _chosen(_mix(spark, sf_dir))
+
+
+def p7_byte_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every listed source, sizes in bytes."""
+    return _shares(_byte_mix(spark, sf_dir))
+
+
+def p7_byte_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of the mix by bytes and how often each is used."""
+    return _chosen(_byte_mix(spark, sf_dir))
 
 
 def _cut(spark: SparkSession, sf_dir: str) -> truncation.Truncation:
@@ -249,6 +275,15 @@ WITH w AS (
 g AS (SELECT DISTINCT kind, id, unnest([array_to_string(words[i : i + 11], ' ') FOR i IN range(1, len(words) - 10)]) AS gram FROM w WHERE len(words) >= 12),
 pairs AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared FROM g d JOIN g i ON d.gram = i.gram AND d.kind = 0 AND i.kind = 1 GROUP BY ALL)
 """
+_P7 = f"""
+WITH t AS (SELECT lower(trim(source)) AS k, source, target_share, max_repeats FROM source_targets),
+d AS (SELECT doc_id, lower(trim(source)) AS k, strlen(coalesce(text, ''))::BIGINT AS tokens FROM documents WHERE doc_id IS NOT NULL),
+cap AS (SELECT k, coalesce(sum(d.tokens), 0)::BIGINT AS once FROM t LEFT JOIN d USING (k) GROUP BY ALL),
+plan AS (SELECT t.*, once, ceil(target_share::DECIMAL(19, 15) * (SELECT sum(once) FROM cap)::DECIMAL(19, 0))::BIGINT AS quota FROM t JOIN cap USING (k)),
+routed AS (SELECT *, least(quota, max_repeats * once)::BIGINT AS routed FROM plan),
+placed AS (SELECT d.*, source, once, routed, (sum(tokens) OVER (PARTITION BY k ORDER BY md5('{SEED}:' || doc_id)[:15], doc_id ROWS UNBOUNDED PRECEDING) - tokens)::BIGINT AS begins FROM d JOIN routed USING (k)),
+chosen AS (SELECT doc_id, k, source, (routed - begins + once - 1) // once AS repeats, tokens FROM placed WHERE routed > begins)
+"""
 _AROUND = """(PARTITION BY source, unit ORDER BY length RANGE BETWEEN {} AND {})"""
 _LENGTHS = """(SELECT source, 'chars' AS unit, length(text) AS length FROM {0}
       UNION ALL SELECT source, 'bytes', strlen(whole) + least(length(text) - length(whole), 1) FROM {0})"""
@@ -304,6 +339,11 @@ SQL |= {
         FROM (SELECT source, count(*) AS texts FROM d GROUP BY ALL) LEFT JOIN (SELECT source, count(*) AS cut FROM found GROUP BY ALL) USING (source)""",
     "p8_reasons": f"""{_P8_CUT} SELECT source, CASE WHEN at_limit AND NOT framed THEN 'limit' WHEN broken THEN 'transfer' ELSE 'ending' END AS reason, count(*) AS texts
         FROM found JOIN l8 USING (doc_id, source) GROUP BY ALL""",
+    "p7_found": f"{_P7} SELECT source FROM routed WHERE routed < quota",
+    "p7_byte_mix": f"{_P7} SELECT doc_id, source, repeats, tokens FROM chosen",
+    "p7_byte_shares": f"""{_P7}, got AS (SELECT k, sum(tokens * repeats)::BIGINT AS mixed FROM chosen GROUP BY ALL)
+        SELECT source, target_share, once AS tokens, coalesce(mixed, 0) AS mixed, round(coalesce(mixed, 0) / (SELECT sum(mixed) FROM got), 6) AS reached_share, routed < quota AS short
+        FROM routed LEFT JOIN got USING (k)""",
     "p6_found": f"{_P6} SELECT doc_id, item_id FROM pairs",
     "p6_items": f"""{_P6} SELECT item_id, count(DISTINCT doc_id) AS pages, round(max(shared / runs), 6) AS part FROM pairs
         JOIN (SELECT id AS item_id, count(*) AS runs FROM g WHERE kind = 1 GROUP BY ALL) USING (item_id) GROUP BY item_id""",
@@ -311,5 +351,5 @@ SQL |= {
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_links, p3_found, p3_scores, p4_found, p4_counts, p4_runs, p5_found, p5_top, p6_found, p6_items, p7_found, p7_shares, p7_mix, p8_found, p8_rates, p8_reasons, p8_limits)
+    for f in (p2_found, p2_links, p3_found, p3_scores, p4_found, p4_counts, p4_runs, p5_found, p5_top, p6_found, p6_items, p7_found, p7_shares, p7_mix, p7_byte_shares, p7_byte_mix, p8_found, p8_rates, p8_reasons, p8_limits)
 }

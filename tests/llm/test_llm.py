@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -205,13 +206,77 @@ def test_retrieve_finds_all_above_threshold():
 
 
 def test_flow():
-    from fractions import Fraction as Q
-
-    flow = mixing.least_cost_flow({("a",): 10, ("a", "b"): 10, ("c",): 4}, {"a": Q(15), "b": Q(5), "c": Q(20), "d": Q(1)}, {"a": 2, "b": 2, "c": 3, "d": 9})
+    flow = mixing.least_cost_flow({("a",): 10, ("a", "b"): 10, ("c",): 4}, {"a": 15, "b": 5, "c": 20, "d": 1}, {"a": 2, "b": 2, "c": 3, "d": 9})
     assert sum(f for (_, s), f in flow.items() if s == "a") == 15
     assert sum(f for (_, s), f in flow.items() if s == "b") == 5
     assert sum(f for (_, s), f in flow.items() if s == "c") == 12  # three times what there is
     assert flow[("a",), "a"] == 10 and flow[("a", "b"), "a"] == 5  # nothing is used twice as long as there is something unused
+    assert mixing.least_cost_flow({}, {"a": 3}, {"a": 2}) == {} == mixing.least_cost_flow({("a",): 5}, {"a": 3}, {"a": 0})
+
+
+def cheapest_paths(capacity, quota, repeats):
+    """Greatest flow and its least cost, one cheapest augmenting path after another (Bellman and Ford)."""
+    arcs = []  # from, to, left, cost; the arc after an even one is its reverse
+
+    def arc(a, b, most, cost=0):
+        arcs.extend([[a, b, most, cost], [b, a, 0, -cost]])
+
+    for p, n in capacity.items():
+        for k in range(1, sum(repeats[s] for s in p) + 1):
+            arc("from", p, n, k)
+        for s in p:
+            arc(p, s, n * repeats[s])
+    for s, q in quota.items():
+        arc(s, "to", q)
+    total = cost = 0
+    while True:
+        far, via = {"from": 0}, {}
+        for _ in range(len(capacity) + len(quota) + 2):
+            for i, (a, b, left, c) in enumerate(arcs):
+                if left and a in far and far[a] + c < far.get(b, 1 << 60):
+                    far[b], via[b] = far[a] + c, i
+        if "to" not in far:
+            return total, cost
+        path, x = [], "to"
+        while x != "from":
+            path.append(via[x])
+            x = arcs[via[x]][0]
+        amount = min(arcs[i][2] for i in path)
+        for i in path:
+            arcs[i][2] -= amount
+            arcs[i ^ 1][2] += amount
+        total, cost = total + amount, cost + amount * far["to"]
+
+
+def test_flow_is_greatest_and_cheapest():
+    for _ in range(60):
+        names = "abcde"[: rng.randrange(1, 6)]
+        capacity = {tuple(sorted(rng.sample(names, rng.randrange(1, len(names) + 1)))): rng.randrange(1, 30) for _ in range(rng.randrange(1, 8))}
+        quota, repeats = {s: rng.randrange(0, 120) for s in names}, {s: rng.randrange(0, 9) for s in names}
+        flow = mixing.least_cost_flow(capacity, quota, repeats)
+        used = Counter()
+        for (p, s), f in flow.items():
+            assert 0 < f <= capacity[p] * repeats[s] and s in p
+            used[p] += f
+        assert all(sum(f for (_, s), f in flow.items() if s == x) <= quota[x] for x in names)
+        price = lambda f, n: sum(min(n, f - i * n) * (i + 1) for i in range(-(-f // n)))
+        assert (sum(flow.values()), sum(price(f, capacity[p]) for p, f in used.items())) == cheapest_paths(capacity, quota, repeats)
+
+
+def test_flow_of_many_patterns_and_repeats():
+    names = [f"s{i}" for i in range(60)]
+    capacity = {}
+    while len(capacity) < 20_000:
+        capacity[tuple(sorted(rng.sample(names, rng.randrange(1, 7))))] = rng.randrange(1, 10**6)
+    total = sum(capacity.values())
+    quota = {s: total // 40 if i < 40 else total // 4000 for i, s in enumerate(names)} | {"s0": total}
+    began = time.perf_counter()
+    flow = mixing.least_cost_flow(capacity, quota, {s: 10**6 if i % 2 else 3 for i, s in enumerate(names)})
+    assert time.perf_counter() - began < 60
+    got = Counter()
+    for (_, s), f in flow.items():
+        got[s] += f
+    assert all(got[s] == q or s == "s0" for s, q in quota.items()) and got["s0"] > 0
 
 
 def test_mix(spark):
@@ -237,15 +302,6 @@ def test_mix(spark):
     assert empty.chosen.count() == 0 and empty.plan.count() == 4
 
 
-def test_too_many_targets_raise(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "PATTERNS", 3)
-    docs = spark.createDataFrame([(1, "a", 5)], "id long, source string, tokens long")
-    targets = spark.createDataFrame([(s, 0.25, 1) for s in "abcd"], "source string, target_share double, max_repeats int")
-    with pytest.raises(ValueError, match="target sources"):
-        mixing.mix_sources(docs, targets)
-    assert mixing.mix_sources(docs, targets.filter("source <> 'd'")).plan.count() == 3
-
-
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (4, "<|endoftext|>")], "id int, text string")
     got = {r.id: r.tokens for r in tokens.with_tokens(df, "text").collect()}
