@@ -165,8 +165,8 @@ def brute_leaks(docs, items, run):
     return {(d, i) for d, t in docs if d is not None and t is not None for i, g in held if g & grams(t)}
 
 
-@pytest.mark.parametrize("run, span, block", [(12, 4, 5000), (6, 2, 3), (5, 1, 5000)])
-def test_leaked_items(spark, run, span, block):
+@pytest.mark.parametrize("run, span, part", [(12, 4, 1 << 20), (6, 2, 300), (5, 1, 1 << 20)])
+def test_leaked_items(spark, run, span, part):
     vocabulary = [f"w{i}" for i in range(12)]
     text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
     items = [(i, text(rng.randrange(4, 60))) for i in range(25)]
@@ -183,7 +183,7 @@ def test_leaked_items(spark, run, span, block):
     items = [(i, " ".join(w)) for i, w in items] + [(91, None), (92, ""), (93, "too short")]
     d = spark.createDataFrame([(*r, 0) for r in docs], "doc_id long, text string, item_id int")
     i = spark.createDataFrame(items, "item_id long, text string")
-    got = [tuple(r)[:2] for r in leakage.leaked_items(d, i, run=run, span=span, block_items=block).collect()]
+    got = [tuple(r)[:2] for r in leakage.leaked_items(d, i, run=run, span=span, part=part).collect()]
     assert set(got) == brute_leaks(docs, items, run) and got
     assert Counter(got)[got[0]] >= 1
     assert leakage.leaked_items(d, i.limit(0)).count() == leakage.leaked_items(d.limit(0), i).count() == 0
@@ -193,15 +193,42 @@ def test_retrieve_finds_all_above_threshold():
     texts = [(n, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 40)))) for n in range(300)]
     index = leakage.Index(texts, 3, 1)
     for _ in range(100):
-        query = sorted({rng.randrange(len(index.postings)) for _ in range(rng.randrange(1, 6))})
+        query = sorted({rng.randrange(len(index.terms)) for _ in range(rng.randrange(1, 6))})
         score = Counter()
         for t in query:
-            for n, s in zip(*index.postings[t][:2]):
+            for n, s in zip(*index.postings(t)[:2]):
                 score[n] += s
         threshold = rng.choice(list(score.values()))
         assert sorted(index.retrieve(query, threshold - 1e-9)) == sorted(n for n, s in score.items() if s >= threshold - 1e-9)
 
 
+def test_retrieval_decides_and_misses_nothing():
+    vocabulary = [f"w{i}" for i in range(40)]
+    texts = [(n, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(12, 50)))) for n in range(200)]
+    index = leakage.Index(texts, 12, 4)
+    asked = []
+    retrieve = index.retrieve
+    index.retrieve = lambda terms: asked.append(retrieve(terms)) or asked[-1]
+    numbers = leakage._Numbers()
+    docs = [numbers.of(" ".join(rng.choice(vocabulary) for _ in range(30)) + " " + " ".join(t.split()[5:18])) for _, t in texts]
+    got = {(d, i) for d, i, _, _ in index.leaks(np.concatenate(docs), np.cumsum([len(d) for d in docs]))}
+    assert got == {(d, n) for d, x in enumerate(docs) for n in range(len(index.ids)) if index.runs_of(n) & {x[i : i + 12].tobytes() for i in range(len(x) - 11)}}
+    assert asked and sum(map(len, asked)) < 20 * len(asked)
+    index.retrieve = lambda terms: []
+    assert not list(index.leaks(np.concatenate(docs), np.cumsum([len(d) for d in docs])))
+
+
+@pytest.mark.parametrize("n", [5_001, 100_000])
+def test_one_scan_for_any_number_of_items(spark, n):
+    text = lambda i: " ".join(f"w{i * 7919 % 65521 + k * k % 13}x{(i + k) % 3001}" for k in range(14))
+    items = spark.createDataFrame([(i, text(i)) for i in range(n)], "item_id long, text string").repartition(8)
+    docs = spark.createDataFrame([(d, f"before {text(d * 37)} after") for d in range(100)] + [(1000, "nothing of it " * 50)], "doc_id long, text string")
+    found = leakage.leaked_items(docs, items, part=1 << 20)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} >= {(d, d * 37) for d in range(100)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Relation") + plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
 # --- mixing ---------------------------------------------------------------------
 
 
