@@ -21,11 +21,27 @@ HEAVY = 1 / 4096
 SKETCHES = 32
 #: Fewer rows than this never make a key heavy: one task takes them easily.
 FLOOR = 20_000
+#: In tables where a share of the rows is more than this, keys of so many rows are heavy, too, ...
+CEILING = 4_000_000
+#: ... down to this share, which bounds how many there can be.
+LEAST_SHARE = 1 / 65536
 
 
-def heavy_values(df: DataFrame, column: str, share: float = HEAVY, floor: int = FLOOR) -> list:
+def share_for(df: DataFrame, share: float) -> float:
+    """The share of df's rows that makes a key heavy: share, or less where that would be more than CEILING rows.
+
+    The number of rows is taken from the optimizer's size of the table, at eight
+    bytes a row: it need not be exact, since shares only route rows.
+    """
+    rows = max(1, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // 8)
+    return min(share, max(LEAST_SHARE, CEILING / rows))
+
+
+def heavy_values(df: DataFrame, *columns: str, share: float = HEAVY, floor: int = FLOOR) -> list:
     """Values of a column of whole numbers that hold at least about share of the rows, for routing only.
 
+    With several columns a list for each of them, from the same scan.
+
     One scan with mergeable frequent-items sketches of fixed size, which are
     merged in groups first, so that no task reads one from every other. The
     estimate is off by less than half the share: a value just below it may be
@@ -33,22 +49,27 @@ def heavy_values(df: DataFrame, column: str, share: float = HEAVY, floor: int =
     the balance of the tasks. Nulls are no values. At most about 1/share values,
     most frequent first. An empty table gives an empty list.
     """
+    share = share_for(df, share)
     tracked = min(1 << 20, max(64, 1 << (int(8 / share) - 1).bit_length()))
+    names = [f"v{i}" for i in range(len(columns))]
     sketches = (
-        df.select(F.col(column).alias("v"), (F.spark_partition_id() % SKETCHES).alias("part"))
-        .filter("v IS NOT NULL")
+        df.select(*[F.col(c).cast("long").alias(v) for c, v in zip(columns, names)], (F.spark_partition_id() % SKETCHES).alias("part"))
         .groupBy("part")
-        .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k_accumulate(v, {tracked})").alias("sketch"))
+        .agg(*[x for v in names for x in (F.count(v).alias(f"n_{v}"), F.expr(f"approx_top_k_accumulate({v}, {tracked}) FILTER (WHERE {v} IS NOT NULL)").alias(f"sketch_{v}"))])
     )
-    # Grouped by a constant: without rows there is no group, where the sketch of nothing would fail.
-    row = sketches.groupBy(F.lit(0).alias("all")).agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {min(tracked, int(1 / share) + 1)})").alias("top")).first()
-    return [x["item"] for x in row.top if x["count"] >= max(row.n * share, floor)] if row else []
+    found = []
+    # One row for each group and column; grouped by a constant, so that no rows give no group, where the sketch of nothing would fail.
+    each = sketches.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"n_{v}").alias("n"), F.col(f"sketch_{v}").alias("sketch")) for i, v in enumerate(names)]))).filter("n > 0")
+    rows = each.groupBy("i").agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {min(tracked, int(1 / share) + 1)})").alias("top")).collect()  # one for each column
+    by = {r.i: [x["item"] for x in r.top if x["count"] >= max(r.n * share, floor)] for r in rows}
+    found = [by.get(i, []) for i in range(len(columns))]
+    return found if len(columns) > 1 else found[0]
 
 
 def heavy_hashes(df: DataFrame, column: str, share: float = HEAVY, floor: int = FLOOR) -> list[int]:
     """Hashes of the heavy values of a column of any type, for is_heavy()."""
     hashed = F.when(F.col(column).isNotNull(), F.xxhash64(F.col(column)))
-    return heavy_values(df.select(hashed.alias("h")), "h", share, floor)
+    return heavy_values(df.select(hashed.alias("h")), "h", share=share, floor=floor)
 
 
 def is_heavy(column: Column, hashes: list[int]) -> Column:
@@ -104,7 +125,7 @@ def key_quantiles(
     ignored, whatever their names.
 
     Rows shrink first to (key, value) counts, which merge on the map side. Keys
-    with less than share of the rows take one shuffle by key and a running sum.
+    with less than share of the rows, and less than CEILING rows, take one shuffle by key and a running sum.
     Each heavier key keeps an interval per quantile, is counted into bins of it,
     and goes on with the bin that holds the rank, until the interval is a single
     value. Counts merge, so values of a heavy key are never brought together.
@@ -125,8 +146,9 @@ def key_quantiles(
         F.max("v").alias("hi"),
     )
     rows = counts.agg(F.sum("c")).first()[0] or 0
-    # At most 1/share rows reach the driver.
-    heavy = totals.filter((F.col("n") >= rows * share) & (F.col("m") > 0)).collect() if rows else []
+    # At most 1/share rows, or 1/LEAST_SHARE in tables where a share is more than CEILING rows, reach the driver.
+    bar = min(rows * share, max(rows * LEAST_SHARE, CEILING))
+    heavy = totals.filter((F.col("n") >= bar) & (F.col("m") > 0)).collect() if rows else []
     names = [f"q{i}" for i in range(len(probs))]
     rank = lambda p, m: F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * m)).cast("long")
 

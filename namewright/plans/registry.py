@@ -11,6 +11,7 @@ from namewright.functions.numbers import parse_number
 from namewright.operators import blocks, constraints, database, graph, matching, procedures, ranges
 from namewright.operators.skew import key_quantiles, once
 from namewright.plans import corpus
+from namewright.session import cut
 from namewright.sources import discovery
 
 
@@ -40,6 +41,7 @@ def _sized(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def _quantiles(spark: SparkSession, sf_dir: str, only_heavy: bool) -> DataFrame:
     parts = []
     for field, rows in _sized(spark, sf_dir).items():
+        rows = cut(rows)
         found = key_quantiles(rows, "k", "size", (0.5, 0.95))
         if only_heavy:
             found = found.filter(F.col("n") * 100 >= rows.count())

@@ -52,3 +52,17 @@ def test_heavy_and_totals(spark):
     got = {tuple(r) for r in skew.with_totals(df, "k", totals, heavy).select("k", "id", "n", "top").collect()}
     assert got == {tuple(r) for r in skew.with_totals(df, "k", totals, []).select("k", "id", "n", "top").collect()}
     assert len(got) == 980 and (7, 3, 400, 399) in got
+
+
+def test_several_columns_and_the_ceiling(spark, monkeypatch):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") + 10).alias("a"), F.when(F.col("id") % 2 == 0, 2).alias("b"), F.lit(None).cast("long").alias("c"))
+    assert skew.heavy_values(df, "a", "b", "c", share=0.1, floor=10) == [[1], [2], []]
+    assert skew.share_for(df, 1 / 8) == 1 / 8
+    monkeypatch.setattr(skew, "CEILING", 100)
+    assert skew.LEAST_SHARE <= skew.share_for(df, 1 / 8) < 1 / 8
+    rng = random.Random(3)
+    check(spark, [(f"k{i % 10}", rng.randrange(9)) for i in range(3000)], "long", share=0.5)
+
+
+def test_nulls_only(spark):
+    assert skew.heavy_values(spark.createDataFrame([(None,)] * 3, "v long"), "v", floor=1) == []
