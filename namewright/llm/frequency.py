@@ -23,19 +23,38 @@ from namewright.session import cut
 
 
 class _Level:
-    """One level of the stack: an open prefix with its occurrences and its records."""
+    """One level of the stack: an open prefix with its occurrences and its records.
 
-    def __init__(self) -> None:
+    On the level of the longest prefix records come in order and are merely
+    counted; on those below they are gathered as packed numbers.
+    """
+
+    def __init__(self, ordered: bool) -> None:
+        self.ordered = ordered
         self.prefix: tuple | None = None
-        self.count = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.count = self.held = 0
+        self.last: int | None = None
         self.records: list[np.ndarray] = []
 
+    def add(self, records: np.ndarray) -> None:
+        if self.ordered:
+            self.held += int(changes(records).sum()) - (self.last == int(records[0]))
+            self.last = int(records[-1])
+            return
+        self.records.append(np.unique(records))
+        if len(self.records) > 64:
+            self.records = [np.unique(np.concatenate(self.records))]
+
     def close(self) -> tuple | None:
         if self.prefix is None:
             return None
-        held = self.records[0] if len(self.records) == 1 else np.unique(np.concatenate(self.records))
-        row = (*self.prefix, self.count, len(held))
-        self.prefix, self.count, self.records = None, 0, []
+        held = self.held if self.ordered else len(np.unique(np.concatenate(self.records)))
+        row = (*self.prefix, self.count, held)
+        self.prefix = None
+        self.clear()
         return row
 
 
@@ -43,7 +62,7 @@ def _count_prefixes(max_len: int, names: list[str], schema: pa.Schema):
     """The pass over one sorted partition: rows (t1 .. tn, record, place) to (t1 .. tn, occurrences, records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack = [_Level() for _ in range(max_len)]
+        stack = [_Level(k == max_len) for k in range(1, max_len + 1)]
         before: tuple | None = None
         for batch in batches:
             if not batch.num_rows:
@@ -74,9 +93,7 @@ def _count_prefixes(max_len: int, names: list[str], schema: pa.Schema):
                     if prefix is not None:
                         level.prefix = prefix
                         level.count += int(seen[e] - seen[s])
-                        level.records.append(np.unique(records[s:e]))
-                        if len(level.records) > 64:
-                            level.records = [np.unique(np.concatenate(level.records))]
+                        level.add(records[s:e])
                 whole = np.arange(1, len(starts) - 1)
                 whole = whole[there[starts[whole]]]
                 if len(whole):
@@ -117,9 +134,9 @@ def term_counts(df: DataFrame, record: str, term: str, place: str, max_len: int
     One shuffle by first value. A value that holds a large share of all rows is
     spread over all tasks by record: the parts of one run then hold different
     records, so their counts add up, and only such runs are added up in a second
-    shuffle. A task keeps one level for each length, and for the open prefixes
-    the records as packed integers: at most the share above which values are
-    spread. Runs longer than 1 first need each record's order: rows are sorted by
+    shuffle. A task keeps one level for each length, and for open prefixes shorter
+    than max_len the records as packed integers: at most as many as rows make a value
+    heavy, of single values none. Runs longer than 1 first need each record's order: rows are sorted by
     range, so a long record takes several tasks, and the few rows that follow the
     end of each range are handed over.
     """

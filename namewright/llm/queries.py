@@ -267,6 +267,25 @@ SQL = {
     },
 }
 
+def _em_sql(rounds: int) -> str:
+    """The two-Poisson fit of every term, one CTE for each round; fit{rounds} has the term's share, high and low."""
+    posterior = lambda k, p: f"1 / (1 + exp(greatest(-700, least(700, ln(1 - {p}share) - ln({p}share) + {p}high - {p}low + ({k}) * (ln({p}low) - ln({p}high))))))"
+    out = """
+cells AS MATERIALIZED (SELECT guid, occurrences::DOUBLE AS k, count(*)::DOUBLE AS m FROM tf GROUP BY ALL),
+tot AS MATERIALIZED (SELECT n::DOUBLE AS n FROM n),
+fit0 AS MATERIALIZED (SELECT guid, greatest(n - sum(m), 0) AS none_, greatest(1e-12, least(1 - 1e-9, sum(m) / n)) AS share, sum(m * k) / sum(m) AS high, greatest(0.1 * sum(m * k) / n, 1e-12) AS low
+         FROM cells, tot GROUP BY guid, n)"""
+    for i in range(rounds):
+        out += f""",
+e{i} AS (SELECT c.guid, any_value(none_) AS none_, greatest(sum(m * r) + any_value(none_ * p0), 1e-300) AS elite, sum(m * k * r) AS up, sum(m * k * (1 - r)) AS down
+  FROM (SELECT c.*, none_, {posterior("k", "f.")} AS r, {posterior("0", "f.")} AS p0 FROM cells c JOIN fit{i} f USING (guid)) c GROUP BY c.guid),
+f{i} AS (SELECT guid, none_, greatest(1e-12, least(1 - 1e-9, elite / n)) AS share, greatest(up / elite, 1e-12) AS high, greatest(down / greatest(n - elite, 1e-300), 1e-12) AS low FROM e{i}, tot),
+fit{i + 1} AS MATERIALIZED (SELECT guid, none_, share, high, least(low, high) AS low FROM f{i})"""
+    return out + f""",
+scored AS (SELECT function_id, tf.guid, tf.occurrences, functions AS spread, tf.occurrences * ln(n::DOUBLE / functions) AS weight, {posterior("tf.occurrences", "f.")} AS elite
+  FROM tf JOIN spread USING (guid) JOIN fit{rounds} f USING (guid), n)"""
+
+
 _P6 = r"""
 WITH w AS (
   SELECT 0 AS kind, doc_id AS id, regexp_extract_all(lower(regexp_replace(text, '[\x{AD}\x{200B}\x{FEFF}]', '', 'g')), '[\p{L}\p{N}]+') AS words FROM documents WHERE text IS NOT NULL
@@ -333,6 +352,8 @@ found AS (SELECT doc_id, source FROM l8 WHERE ((at_limit AND NOT framed) OR brok
   AND shape NOT IN (SELECT shape FROM l8 WHERE is_whole AND NOT at_limit))
 """
 SQL |= {
+    "p3_scores": f"""WITH {_OCC}, {_em_sql(distinctive.ITERATIONS)}
+        SELECT function_id, guid, occurrences, spread, round(weight, 6) AS weight, round(elite, 6) AS elite FROM scored""",
     "p8_limits": f"{_P8} SELECT source, unit, length, texts, at_risk, round(expected, 6) AS expected FROM limits",
     "p8_found": f"{_P8_CUT} SELECT doc_id FROM found",
     "p8_rates": f"""{_P8_CUT} SELECT source, texts, coalesce(cut, 0) AS cut, round(coalesce(cut, 0) / texts, 6) AS rate

@@ -18,11 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namewright.functions.arrow import changes, whole_groups
-from namewright.operators.skew import heavy_values
+from namewright.operators.skew import heavy_values, is_any
 from namewright.session import cut
 
 #: Classes in a bucket that are paired off directly.
 BUCKET = 8
+#: Sets of more members are told apart by finer bands instead of pairs of members.
+PAIRED = 64
+#: Bands and rows of the first and the second refinement.
+FINE = {1: (200, 6), 2: (500, 8)}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = np.array([1, 2], np.uint64) * _MIX
 
@@ -41,8 +45,14 @@ def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
 def _sets(least: int):
     """Rows (id, item) sorted so, to one row for each id: two fingerprints of its set, and the set."""
 
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Without repeated rows, so that only sets themselves are held."""
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(changes(batch.column("id").to_numpy(), batch.column("item").to_numpy())))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "id"):
+        for table in whole_groups(fresh(batches), "id"):
             ids, items = table.column("id").to_numpy(), table.column("item").to_numpy()
             keep = changes(ids, items)
             ids, items = ids[keep], items[keep]
@@ -60,22 +70,32 @@ def _sets(least: int):
     return run
 
 
+def _band_keys(words: np.ndarray, starts: np.ndarray, bands: int, rows: int, salt: int = 0) -> Iterator[np.ndarray]:
+    """The bucket keys of sets of words that begin at starts, band by band: a key mixes the least hashes of its rows."""
+    seeds = _mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * _MIX + np.uint64(salt))
+    for b in range(bands):
+        key = np.full(len(starts), seeds[b * rows], np.uint64)
+        for r in range(rows):
+            key = _mix(key + np.minimum.reduceat(_mix(words ^ seeds[b * rows + r]), starts) + np.uint64(b + 1))
+        yield key
+
+
+def _flat(items: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All members of an array of lists, and where each list begins and how long it is; no list is empty."""
+    offsets = items.offsets.to_numpy()
+    return items.flatten().to_numpy(), (offsets[:-1] - offsets[0]).astype(np.int64), np.diff(offsets).astype(np.int64)
+
+
 def _bands(bands: int, rows: int):
     """Rows (cls, items) to one row for each band: the key of its bucket, and cls."""
-    seeds = _mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * _MIX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            items = batch.column("items")
-            starts = items.offsets.to_numpy()[:-1] - items.offsets[0].as_py()
-            words, cls = items.flatten().to_numpy().view(np.uint64), batch.column("cls").to_numpy()
-            for b in range(bands):
-                key = np.full(len(cls), seeds[b * rows], np.uint64)
-                for r in range(rows):
-                    key = _mix(key + np.minimum.reduceat(_mix(words ^ seeds[b * rows + r]), starts) + np.uint64(b + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls)], names=["key", "cls"])
+            members, starts, _ = _flat(batch.column("items"))
+            for key in _band_keys(members.view(np.uint64), starts, bands, rows):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("cls")], names=["key", "cls"])
 
     return run
 
@@ -134,30 +154,52 @@ def _pairs(bucket: int):
 
 
 def _refined(threshold: float, depth: int, common: list[int]):
-    """Rows (key, cls, items) of large buckets to (finer key, cls).
+    """Rows (cls, items) that met in large buckets to (finer key, cls).
 
     In one order of all members, common ones last, two sets with an overlap of at
     least n share depth of the first size - n + depth members: each of those gives
-    a finer bucket. depth 2 takes pairs of them.
+    a finer bucket. depth 2 takes pairs of them. Large sets would give too many; sets over
+    PAIRED members take the bands of FINE instead, which miss a pair of similarity
+    s with a chance of (1 - s^rows)^bands, 7e-5 and 2e-4 at 0.6. Sets up to
+    PAIRED / threshold take members, so two similar sets always have one way in common.
     """
-    ranks = dict(zip(common, range(1, len(common) + 1)))
+    common_sorted = np.array(sorted(common), np.int64)
+    place = np.array([common.index(x) + 1 for x in sorted(common)], np.int64)
+
+    def keyed(key: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls)], names=["key", "cls"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, classes = [], []
-            for key, cls, items in zip(batch.column("key").to_numpy(), batch.column("cls").to_numpy(), batch.column("items")):
-                members = items.values.to_numpy() if isinstance(items.values, pa.Array) else np.array(items.as_py())
-                n = len(members)
-                rank = np.array([ranks.get(m, 0) for m in members.tolist()])
-                order = np.lexsort((members, rank))
-                prefix = _mix(members[order[: min(n, n - math.ceil(threshold * n - 1e-9) + depth)]].view(np.uint64))
-                if depth == 2:
-                    i, j = np.triu_indices(len(prefix), 1)
-                    prefix = _mix(prefix[i] * np.uint64(3) + prefix[j])
-                keys.append(_mix(prefix + np.uint64(int(key) & (2**64 - 1))).view(np.int64))
-                classes.append(np.full(len(prefix), cls))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(classes))], names=["key", "cls"])
+            if not batch.num_rows:
+                continue
+            cls = batch.column("cls").to_numpy()
+            members, starts, sizes = _flat(batch.column("items"))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            if len(common_sorted):
+                at = np.minimum(np.searchsorted(common_sorted, members), len(common_sorted) - 1)
+                rank = np.where(common_sorted[at] == members, place[at], 0)
+            else:
+                rank = np.zeros(len(members), np.int64)
+            ordered = members[np.lexsort((members, rank, row))].view(np.uint64)
+            first = np.minimum(sizes, sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + depth)
+            small = sizes <= PAIRED / threshold
+            if depth == 1:
+                inside = (np.arange(len(ordered)) - np.repeat(starts, sizes) < np.repeat(first, sizes)) & small[row]
+                yield keyed(_mix(ordered[inside]), cls[row[inside]])
+            for n in np.unique(first[small]).tolist() if depth == 2 else ():
+                own = np.flatnonzero(small & (first == n))
+                block = max(1, 2_000_000 // max(1, n * n))
+                for some in (own[i : i + block] for i in range(0, len(own), block)):
+                    prefix = _mix(ordered[starts[some][:, None] + np.arange(n)])
+                    i, j = np.triu_indices(n, 1)
+                    yield keyed(_mix(prefix[:, i] * np.uint64(3) + prefix[:, j]).ravel(), np.repeat(cls[some], len(i)))
+            large = np.flatnonzero(sizes > PAIRED)
+            if len(large):
+                words = np.concatenate([members[starts[r] : starts[r] + sizes[r]] for r in large]).view(np.uint64)
+                begins = np.concatenate(([0], np.cumsum(sizes[large])[:-1]))
+                for key in _band_keys(words, begins, *FINE[depth], salt=depth):
+                    yield keyed(key, cls[large])
 
     return run
 
@@ -205,16 +247,20 @@ def similar_sets(
 
     To tell two tables from each other, give ids of disjoint ranges and filter the pairs.
 
-    One shuffle by id brings a record's members together (8 bytes each); equal
+    One shuffle by id brings a record's members together (8 bytes each); a set must
+    fit in a task, its repeated rows need not. Equal
     sets collapse with map-side combining, so a class holding a third of all
     records costs one row a task. Bucket rows are two numbers. Buckets over bucket
     classes are refined by one, then two of the rarest members that any similar
-    partner must share, so that pairs come from small groups at any size; a group
-    that two members cannot split consists of sets which share both and is paired
-    off by a join that splits skewed groups.
+    partner must share (large sets by finer bands), so that pairs come from small
+    groups at any size; a group that this cannot split consists of sets which share
+    all that it takes and is paired off by a join that splits skewed groups.
     """
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(item_col).alias("item")).filter("id IS NOT NULL AND item IS NOT NULL").select("id", F.xxhash64("item").alias("item"))
-    common = heavy_values(base, "item", share=1 / 1024)[::-1]
+    common, hot = heavy_values(base, "item", "id", share=1 / 1024)
+    common = common[::-1]
+    if hot:  # a record with so many rows has its repeats dropped before they meet in one task
+        base = base.filter(~is_any(F.col("id"), hot)).unionByName(base.filter(is_any(F.col("id"), hot)).distinct())
     sets = cut(base.repartition("id").sortWithinPartitions("id", "item").mapInArrow(_sets(least), "id long, f1 long, f2 long, items array<long>"))
     classes = cut(sets.groupBy("f1", "f2").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("n"), F.first("items").alias("items")))
 
@@ -225,10 +271,11 @@ def similar_sets(
     proposed = [found.filter("b IS NOT NULL").select("a", "b")]
     # At a threshold up to a half, small sets may share a single member, and pairs of members would lose them.
     for depth in (1, 2) if threshold > 0.5 else (1,):
-        large = found.filter("b IS NULL").select("key", F.col("a").alias("cls"))
+        # What is shared by similar sets does not depend on the bucket in which they met: a class refines once, however many large buckets it is in.
+        large = found.filter("b IS NULL").select(F.col("a").alias("cls")).distinct()
         if large.isEmpty():
             break
-        finer = large.join(classes.select("cls", "items"), "cls").select("key", "cls", "items").mapInArrow(_refined(threshold, depth, common), "key long, cls long")
+        finer = classes.select("cls", "items").join(large, "cls", "left_semi").mapInArrow(_refined(threshold, depth, common), "key long, cls long")
         found = paired(finer)
         proposed.append(found.filter("b IS NOT NULL").select("a", "b"))
     else:

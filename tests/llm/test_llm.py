@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -469,3 +470,55 @@ def test_texts_without_a_source_have_the_limits_of_all(spark):
     docs += [(500, prose(700)[:449] + "n", None, closed), (501, prose(700)[:447] + "n", None, closed)]
     got = _found(spark, docs)
     assert got[500] == "limit" and 501 not in got
+
+
+def test_similar_large_sets_in_one_bucket(spark):
+    """A thousand sets of one family, some of 10,000 members, that meet in the same buckets."""
+    draw = np.random.default_rng(4)
+    core = draw.integers(0, 1 << 40, 10_000)
+    sets = {}
+    for i in range(12):  # similar to each other in steps
+        sets[i] = set(np.concatenate((core[: 10_000 - 300 * i], draw.integers(1 << 41, 1 << 42, 300 * i))).tolist())
+    for i in range(1000):
+        own = core[draw.choice(200, 30, replace=False)]
+        sets[100 + i] = set(np.concatenate((own, draw.integers(1 << 41, 1 << 42, 6))).tolist())
+        if i % 10 == 0:
+            sets[2000 + i] = set(list(sets[100 + i])[3:])
+    df = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "id long, items array<long>").select("id", F.explode("items").alias("item"))
+    got = {(r.a, r.b) for r in similar.similar_sets(df, "id", "item", bucket=2).pairs.collect()}
+    expected = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a]) * 0.6 <= len(sets[b]) <= len(sets[a]) / 0.6 and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6 - 1e-9}
+    assert got <= expected and len(got) >= 0.99 * len(expected) and len(expected) > 130
+
+
+def test_finer_keys_meet_for_similar_sets():
+    """Pairs of members and finer bands each miss nothing on their side of the boundary."""
+    draw = np.random.default_rng(5)
+    for size in (10, 60, 70, 100, 110, 200):
+        a = np.unique(draw.integers(0, 1 << 50, size))
+        b = np.unique(np.concatenate((a[: int(size * 0.8)], draw.integers(1 << 51, 1 << 52, int(size * 0.15)))))
+        assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.6
+        for depth in (1, 2):
+            rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a, b])], names=["cls", "items"])
+            keys = defaultdict(set)
+            for out in similar._refined(0.6, depth, a[:3].tolist())([rows]):
+                for k, c in zip(*map(lambda x: x.to_pylist(), out.columns)):
+                    keys[c].add(k)
+            assert keys[1] & keys[2] and max(map(len, keys.values())) <= 1500
+
+
+def test_a_record_with_a_third_of_all_rows(spark):
+    data = [(i, i * 7 % 50 + j) for i in range(3000) for j in range(6)] + [(5000, j % 6) for j in range(30_000)]
+    df = spark.createDataFrame(data, "id long, item long").repartition(4)
+    found = similar.similar_sets(df, "id", "item")
+    assert {r.id: r.cls for r in found.members.collect()}[5000] == 0
+
+
+def test_a_term_with_a_third_of_all_rows(spark, monkeypatch):
+    data = [(i, item(1), i % 3) for i in range(25_000)] + [(i % 5000, item(2 + i % 300), i % 7) for i in range(30_000)]
+    df = spark.createDataFrame(data, "id long, t binary, off long").repartition(4)
+    rows = lambda x: sorted((tuple(bytes(v) if isinstance(v, bytearray) else round(v, 9) if isinstance(v, float) else v for v in r) for r in x.collect()), key=str)
+    assert len(distinctive.heavy_hashes(df.select("t"), "t")) == 1
+    scores, counts = rows(distinctive.distinctive_terms(df, "id", "t", "off", 25_000)), rows(frequency.term_counts(df, "id", "t", "off"))
+    for module in (distinctive, frequency):
+        monkeypatch.setattr(module, "heavy_hashes", lambda df, c: [])
+    assert scores == rows(distinctive.distinctive_terms(df, "id", "t", "off", 25_000)) and counts == rows(frequency.term_counts(df, "id", "t", "off"))
