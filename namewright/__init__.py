@@ -13,3 +13,19 @@ from pyspark import cloudpickle
 
 # Executors then need no copy of this package: what they run is sent to them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: What users need most, by the module that holds it; loaded when first asked for.
+_NAMES = {
+    "Analyzer": "plans.pipeline", "AnalysisOptions": "plans.pipeline", "AnalysisResult": "plans.pipeline", "DatabaseBuilder": "plans.pipeline", "Build": "plans.pipeline",
+    "Progress": "plans.progress", "Silent": "plans.progress", "Text": "plans.progress", "Bar": "plans.progress",
+    "FoldSource": "sources.fold", "match": "operators.matching", "key_quantiles": "operators.skew",
+}
+__all__ = list(_NAMES)
+
+
+def __getattr__(name: str):
+    if name not in _NAMES:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    from importlib import import_module
+
+    return getattr(import_module(f"{__name__}.{_NAMES[name]}"), name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import time
 from typing import Protocol, TextIO
 
 
@@ -59,14 +60,26 @@ class Text:
 
 
 class Bar(Text):
-    """One line that fills up."""
+    """One line that fills up, with the time since the start, the rate and the time that is left."""
 
-    WIDTH = 30
+    WIDTH = 40
+
+    def start(self, what: str, total: int | None = None) -> None:
+        self.began = time.monotonic()
+        super().start(what, total)
 
     def step(self, message: str) -> None:
         self.done += 1
-        filled = self.WIDTH * self.done // max(self.total or self.done, self.done)
-        print(f"\r{self.what} [{'#' * filled:<{self.WIDTH}}] {self.done} {message}", end="", file=self.out, flush=True)
+        print("\r" + self.line(time.monotonic() - self.began, message), end="", file=self.out, flush=True)
+
+    def line(self, elapsed: float, message: str) -> str:
+        """The line as it stands after so many seconds."""
+        clock = lambda s: f"{int(s) // 3600:02}:{int(s) // 60 % 60:02}:{int(s) % 60:02}"
+        total = max(self.total or self.done, self.done)
+        filled = self.WIDTH * self.done // max(total, 1)
+        rate = self.done / elapsed if elapsed > 0 else 0.0
+        left = clock((total - self.done) / rate) if rate else "-"
+        return f"{self.what} [{clock(elapsed)}] [{'#' * filled:-<{self.WIDTH}}] {self.done}/{total} ({rate:.1f}/s, {left}) {message}"
 
     def finish(self) -> None:
         print(file=self.out, flush=True)

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from namewright import streaming
 from namewright.functions import guid as g
 from namewright.functions.guid import guid_bytes, guid_hex
 from namewright.functions.numbers import parse_number
 from namewright.operators import blocks, constraints, database, graph, matching, procedures, ranges
 from namewright.operators.skew import key_quantiles, once
-from namewright.plans import corpus
-from namewright.session import cut
-from namewright.sources import discovery
+from namewright.plans import corpus, images, pipeline
+from namewright.session import cut, new_path
+from namewright.sources import discovery, fold, pdb, pe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -335,6 +336,33 @@ def discovery_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.paired(rows.select("path").distinct(), symbols)
 
 
+def _stream(spark: SparkSession, functions: DataFrame) -> DataFrame:
+    """functions as a stream of files."""
+    path = new_path(spark, "arriving")
+    functions.write.parquet(path)
+    return spark.readStream.schema(functions.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+def stream_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by GUID alone of functions of 'tgt' that arrive file by file."""
+    c = corpus.load(spark, sf_dir)
+    out = new_path(spark, "named")
+    stream = _stream(spark, c.only("tgt").functions.select("binary_id", "address", "guid"))
+    streaming.name_stream(stream, corpus.reference_db(c), out, new_path(spark, "state")).awaitTermination()
+    return spark.read.schema("binary_id string, address long, guid string, symbol_name string").parquet(out).select("address", "symbol_name")
+
+
+def stream_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by all tiers of functions of 'tgt' that arrive with their constraints."""
+    c = corpus.load(spark, sf_dir)
+    target, out = c.only("tgt"), new_path(spark, "named")
+    known = constraints.distinct_constraints(target.static()).groupBy("binary_id", "address").agg(F.collect_list("guid").alias("constraints"))
+    rows = target.functions.select("binary_id", "address", "guid").join(known, ["binary_id", "address"], "left")
+    db = cut(corpus.reference_db(c))
+    streaming.name_stream_by_constraints(_stream(spark, rows), db, out, new_path(spark, "state")).awaitTermination()
+    return spark.read.parquet(out).select("address", "symbol_name", "tier")
+
+
 # --- procedures, graph, ranges, blocks --------------------------------------------
 
 
@@ -473,6 +501,105 @@ def block_guid_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.function_guids(blocks.block_guids(code, spans)).select("address", "guid")
 
 
+# --- files --------------------------------------------------------------------------
+
+
+def _paths(files: DataFrame) -> DataFrame:
+    return pe.headers(files).select("binary_id", "path")
+
+
+def _named(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """A table of all analysed functions of the made executables, by path."""
+    files = cut(images.files(spark, sf_dir))
+    return getattr(pe.tables(pe.analysed(files)), table).join(_paths(files), "binary_id").select("path", *columns)
+
+
+def img_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of executables, of either width, and which cannot be read."""
+    rows = pe.headers(images.files(spark, sf_dir, "mixed"))
+    return rows.select("path", "image_base", "bitness", "timestamp", "pdb_guid", "pdb_age", F.col("error").isNotNull().alias("damaged"))
+
+
+def img_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section tables."""
+    rows = pe.headers(images.files(spark, sf_dir))
+    return rows.select("path", F.inline("sections"))
+
+
+def img_unwind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unwind rows in the order of the file, and what they chain to."""
+    rows = pe.headers(images.files(spark, sf_dir))
+    return rows.select("path", F.inline("runtime_functions")).drop("unwind")
+
+
+def img_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of functions with the unwind rows chained to them."""
+    rows = img_unwind(spark, sf_dir).withColumnRenamed("path", "binary_id")
+    return graph.chain_ranges(rows).select(F.col("binary_id").alias("path"), "start", "end")
+
+
+def img_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions reached from the unwind rows, with size and GUID of their normalised code."""
+    return _named(spark, sf_dir, "functions", "address", "size", "guid")
+
+
+def img_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basic blocks of functions."""
+    return _named(spark, sf_dir, "blocks", "entry_point", "start", "end")
+
+
+def img_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls, and jumps that leave a function for another."""
+    return _named(spark, sf_dir, "calls", "caller", "address", "target")
+
+
+def img_data_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to data with size, and strings where they lead to one."""
+    return _named(spark, sf_dir, "data_refs", "entry_point", "address", "target", "is_readonly", "estimated_size", "bytes_hex")
+
+
+def img_disassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instructions of each block, counted."""
+    files = cut(images.files(spark, sf_dir))
+    t = pe.tables(pe.analysed(files))
+    shown = pipeline.disassembly(t.instructions, t.blocks).join(_paths(files), "binary_id")
+    return shown.groupBy("path", "entry_point", "start").agg(F.count(F.lit(1)).alias("instructions"))
+
+
+def pdb_procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Procedures of written symbol files, read again."""
+    rows = pdb.procedures(images.files(spark, sf_dir, "pdb"))
+    return rows.select("path", "producer_idx", "symbol_idx", "name", "rva", "len", F.col("error").isNotNull().alias("damaged"))
+
+
+def pdb_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity and sections of written symbol files, and whether they may be replaced."""
+    return pdb.identities(images.files(spark, sf_dir, "pdb")).select("path", "guid", "age", "signature", "replaceable", "sections", "modules", "publics")
+
+
+def _fold(spark: SparkSession, sf_dir: str):
+    """The database of 'ref' written as one file; a reader of it."""
+    spark.dataSource.register(fold.FoldSource)
+    path = new_path(spark, "fold")
+    _db(spark, sf_dir).coalesce(1).write.format("fold").mode("overwrite").save(path)
+    return lambda **options: spark.read.format("fold").options(**options).load(path)
+
+
+def fold_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The database written as a file and read again in spans."""
+    return _fold(spark, sf_dir)(span="100")
+
+
+def fold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One function of the file, found by binary search."""
+    return _fold(spark, sf_dir)(function=_first_guid(spark, sf_dir)).select("constraint_guid", "symbol")
+
+
+def fold_lookup_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An unknown function of the file has no rows."""
+    return _fold(spark, sf_dir)(function="44" * 16).select("constraint_guid", "symbol")
+
+
 _C = f"WITH RECURSIVE {corpus.SQL}"
 _M = f"WITH RECURSIVE {corpus.MATCH_SQL}"
 _LAST = corpus.ROUNDS
@@ -570,6 +697,9 @@ SQL |= {
     "match_nil": f"{_M} SELECT address, nil_name FROM new1 WHERE nil_name IS NOT NULL",
     "match_singleton": f"{_M} SELECT address, single_name FROM new1 WHERE nil_name IS NULL AND single_name IS NOT NULL",
     "match_intersection": f"{_M} SELECT address, common_name FROM new1 WHERE common_name IS NOT NULL",
+    "stream_names": f"{_M} SELECT address, nil_name AS symbol_name FROM new1 WHERE nil_name IS NOT NULL",
+    "stream_tiers": f"""{_M} SELECT address, name AS symbol_name, CASE WHEN nil_name IS NOT NULL THEN 'nil' WHEN single_name IS NOT NULL THEN 'singleton' ELSE 'intersection' END AS tier
+        FROM new1 WHERE name IS NOT NULL""",
     "match_round1": f"{_M} SELECT address, name AS symbol_name FROM named1",
     "match_fixpoint": f"{_M} SELECT address, name AS symbol_name, round FROM named{_LAST}",
     "match_named_info": f"{_M} SELECT m.address, guid, m.name AS symbol_name FROM named{_LAST} m JOIN fn f ON f.binary_id = 'tgt' AND f.address = m.address",
@@ -607,14 +737,46 @@ SQL |= {
         SELECT entry_point AS address, {corpus.v5_sql("function", "all_")} AS guid FROM c""",
 }
 
+_I = f"WITH {images.SQL}"
+_PDB = f"""{_I}, sym AS (SELECT 's' || s || '.pdb' AS path, k, name || '#' || p AS name, cnt FROM p0)"""
+SQL |= {
+    "img_headers": f"""{_I} SELECT path, CASE WHEN s % 10 = 3 THEN NULL WHEN s % 10 = 7 THEN {images.BASE & 0xFFFFFFFF} ELSE {images.BASE} END AS image_base, CASE WHEN s % 10 = 3 THEN NULL WHEN s % 10 = 7 THEN 32 ELSE 64 END AS bitness,
+        CASE WHEN s % 10 <> 3 THEN 1000000 + s END AS timestamp, CASE WHEN s % 10 <> 3 THEN md5('s' || s) END AS pdb_guid, CASE WHEN s % 10 <> 3 THEN s % 9 + 1 END AS pdb_age, s % 10 = 3 AS damaged FROM img""",
+    "img_sections": f"""{_I}, x AS (
+          SELECT path, 1 AS idx, '.text' AS name, {images.TEXT} AS virtual_address, 64 * cnt AS n, {images.FLAGS[".text"]} AS characteristics FROM img
+          UNION ALL SELECT path, 2, '.rdata', rdata, debug_at + 60, {images.FLAGS[".rdata"]} FROM img
+          UNION ALL SELECT path, 3, '.data', data, 4 * cnt, {images.FLAGS[".data"]} FROM img
+          UNION ALL SELECT path, 4, '.pdata', pdata, 12 * ((cnt + 1) // 2), {images.FLAGS[".pdata"]} FROM img)
+        SELECT path, idx, name, virtual_address, n AS virtual_size, n AS size_of_raw_data, virtual_address AS pointer_to_raw_data, characteristics FROM x""",
+    "img_unwind": f"""{_I} SELECT path, k // 2 AS ordinal, place AS start, place + len AS "end", CASE WHEN k % 4 = 2 THEN place - 128 END AS chained_start FROM pt WHERE k % 2 = 0""",
+    "img_ranges": f"""{_I} SELECT path, min(place) AS start, max(place + len) AS "end" FROM pt WHERE k % 2 = 0 GROUP BY path, k // 4""",
+    "img_functions": f"{_I} {images.FUNCTION_SQL}",
+    "img_blocks": f"""{_I} SELECT path, place AS entry_point, start, "end" FROM blk""",
+    "img_calls": f"""{_I} SELECT path, place AS caller, place + call_at AS address, {images.BASE + images.TEXT} + 64 * ((k + 1) % cnt) AS target FROM pt
+        UNION ALL SELECT path, place, place + branch_end + 2, place + 320 FROM pt WHERE jumps""",
+    "img_data_refs": f"""{_I}, h AS (SELECT *, {images._ASCII} AS h FROM pt)
+        SELECT path, place AS entry_point, place + lea_at AS address, {images.BASE} + rdata + 128 * k AS target, true AS is_readonly, NULL AS estimated_size,
+               lower(CASE WHEN odd = 0 AND length(h) > 8 THEN h WHEN odd = 1 AND length(h) > 4 THEN regexp_replace(h, '(..)', '\\100', 'g') END) AS bytes_hex FROM h
+        UNION ALL SELECT path, place, place + extra_at, {images.BASE} + data + 4 * k, false, 4, NULL FROM pt WHERE p % 3 = 0""",
+    "img_disassembly": f"""{_I} SELECT path, place AS entry_point, place AS start, 7 + CASE WHEN extra > 0 THEN 1 ELSE 0 END AS instructions FROM pt
+        UNION ALL SELECT path, place, place + branch_end, 1 FROM pt UNION ALL SELECT path, place, place + branch_end + 2, CASE WHEN jumps THEN 1 ELSE 2 END FROM pt""",
+    "pdb_procedures": f"""{_PDB} SELECT path, 1 AS producer_idx, 2 * k AS symbol_idx, name, {images.TEXT} + 64 * k AS rva, 40 AS len, false AS damaged FROM sym""",
+    "pdb_identity": f"""{_I} SELECT 's' || s || '.pdb' AS path, md5('s' || s) AS guid, s % 9 + 1 AS age, 1000000 + s AS signature, true AS replaceable,
+        '.text {images.TEXT} ' || 64 * cnt AS sections, '.text_module' AS modules, cnt AS publics FROM img""",
+    "fold_round_trip": f"{_C} SELECT * FROM db",
+    "fold_lookup": f"{_C} SELECT constraint_guid, symbol FROM db WHERE function_guid = (SELECT guid FROM fn WHERE binary_id = 'ref' AND address = 1)",
+    "fold_lookup_miss": f"{_C} SELECT constraint_guid, symbol FROM db WHERE function_guid = repeat('44', 16)",
+}
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_quantiles, guid_function, guid_symbol, guid_normalise, *map(_con, ("child_call", "parent_call", "symbol_child", "symbol_parent", "data_const")),
         constraint_union_distinct, constraint_analysed, db_build, db_corpus, db_nested_sizes, db_nested_round_trip, db_stats, db_unique_constraints, db_functions,
         db_lookup_hit, db_lookup_miss, db_lookup_sets, db_semi_prefetch, dump_json, dump_json_miss, string_dictionary, constraint_dictionary, prefix_offsets,
-        match_nil, match_singleton, match_intersection, match_round1, match_fixpoint, match_counts, match_summary, match_named_info, match_recorded, number_parse, function_size_lookup, binary_latest, discovery_pairs,
+        match_nil, match_singleton, match_intersection, match_round1, match_fixpoint, match_counts, match_summary, match_named_info, match_recorded, stream_names, stream_tiers, number_parse, function_size_lookup, binary_latest, discovery_pairs,
         first_symbol_wins, procedure_filter, reachability, chain_roots, chain_ranges, range_join_section, address_writable, functions_by_section, section_modules,
         block_sweep, byte_normalise, data_references, function_sizes, block_guid_concat,
+        img_headers, img_sections, img_unwind, img_ranges, img_functions, img_blocks, img_calls, img_data_refs, img_disassembly, pdb_procedures, pdb_identity, fold_round_trip, fold_lookup, fold_lookup_miss,
     )
 }

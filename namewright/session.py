@@ -36,12 +36,23 @@ def cut(df: DataFrame) -> DataFrame:
     The files go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = new_path(spark, "cut")
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    forget_later(spark, path)
+    return path
+
+
+def forget_later(spark: SparkSession, path: str) -> None:
+    """Have discard() delete a file or folder."""
+    _written.append((spark, path))
+
+
 def discard() -> None:
     """Delete everything cut() wrote; also runs when the driver exits."""
     while _written:

@@ -135,6 +135,11 @@ class SymbolFile:
                         name = body[35:].split(b"\0")[0].decode("utf-8", "replace")
                         yield {"producer_idx": producer, "symbol_idx": n, "name": name, "rva": places[segment - 1][1] + offset, "len": size}
 
+    def publics(self) -> list[str]:
+        """Names of public symbols."""
+        data = self.streams[self.globals] if self.globals < len(self.streams) else b""
+        return [body[10:].split(b"\0")[0].decode("utf-8", "replace") for kind, body in self.records(data) if kind == S_PUB32 and len(body) > 10]
+
     def environment(self) -> list[str]:
         """Entries of environment blocks among the global symbols."""
         data = self.streams[self.globals] if self.globals < len(self.streams) else b""
@@ -169,6 +174,27 @@ def procedures(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, producer_idx int, symbol_idx int, name string, rva long, len long, error string")
 
 
+_IDENTITY = pa.schema([("path", pa.string()), ("guid", pa.string()), ("age", pa.int64()), ("signature", pa.int64()), ("replaceable", pa.bool_()), ("sections", pa.string()), ("modules", pa.string()), ("publics", pa.int64()), ("error", pa.string())])
+
+
+def identities(files: DataFrame) -> DataFrame:
+    """One row a symbol file (path, content): identity, whether this writer made it, sections, modules, number of public symbols, or an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                row: dict = {"path": path.as_py()}
+                try:
+                    s = SymbolFile(Slices(content.as_py() or b""))
+                    row |= {"guid": s.guid, "age": s.age, "signature": s.signature, "replaceable": any(CANARY in x for x in s.environment())}
+                    row |= {"sections": ",".join(f"{n} {a} {z}" for n, a, z in s.sections()), "modules": ",".join(m[0] for m in s.modules), "publics": len(s.publics())}
+                except BadSymbols as error:
+                    row["error"] = str(error)
+                yield pa.RecordBatch.from_pylist([row], schema=_IDENTITY)
+
+    return files.select("path", "content").mapInArrow(run, "path string, guid string, age long, signature long, replaceable boolean, sections string, modules string, publics long, error string")
+
+
 def _record(kind: int, body: bytes) -> bytes:
     body += b"\0" * (-(len(body) + 2) % 4)
     return struct.pack("<HH", len(body) + 2, kind) + body

@@ -1,3 +1,4 @@
+import io
 import json
 import os
 import struct
@@ -12,7 +13,7 @@ from namewright.__main__ import main
 from namewright.operators import blocks
 from namewright.plans.pipeline import Analyzer, DatabaseBuilder, disassembly
 from namewright.sources import discovery, fold, pdb, pe, x86
-from namewright.streaming import name_stream
+from namewright.streaming import name_stream, name_stream_by_constraints
 
 A, B, C = "41" * 16, "42" * 16, "43" * 16
 ROWS = [(A, B, "test_value_1"), (A, B, "test_value_3"), (A, C, "test_value_1"), (A, C, "test_value_2"), (B, C, "ünï")]
@@ -271,3 +272,39 @@ def test_stream(spark, tmp_path):
     query = name_stream(stream, db, str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(60)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("x", 1, A, "one")]
+
+
+def test_stream_of_functions_with_constraints(spark, tmp_path):
+    functions = spark.createDataFrame([("x", 1, A, [B, C]), ("x", 2, A, [C]), ("x", 3, A, None), ("x", 4, B, [])], "binary_id string, address long, guid string, constraints array<string>")
+    functions.write.parquet(str(tmp_path / "in"))
+    db = spark.createDataFrame([*[(A, "0" * 32, n) for n in "abc"], (A, B, "a"), (A, B, "b"), (A, C, "b"), (A, C, "c"), (B, "0" * 32, "z")], fold.SCHEMA)
+    stream = spark.readStream.schema(functions.schema).parquet(str(tmp_path / "in"))
+    name_stream_by_constraints(stream, db, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
+    got = {(r.address, r.symbol_name, r.tier) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, "b", "intersection"), (4, "z", "nil")}
+
+
+def test_options_and_exports(spark, folder):
+    import namewright
+
+    root, _, moved = folder
+    said = io.StringIO()
+    options = namewright.AnalysisOptions(max_rounds=2).with_progress(namewright.Text(said))
+    result = namewright.Analyzer(spark, [str(root / "target.exe")], options=options).analyze()
+    addresses = [r.address for r in result.in_order().collect()]
+    assert addresses == sorted(addresses) and moved["main"] in addresses and "analyze" in said.getvalue()
+    assert all(getattr(namewright, n) for n in namewright.__all__)
+    with pytest.raises(AttributeError):
+        namewright.nothing
+
+
+def test_bar():
+    from namewright.plans.progress import Bar
+
+    bar = Bar(io.StringIO())
+    bar.start("work", 4)
+    bar.done = 1
+    assert bar.line(2.0, "x") == "work [00:00:02] [" + "#" * 10 + "-" * 30 + "] 1/4 (0.5/s, 00:00:06) x"
+    bar.step("y")
+    bar.finish()
+    assert "2/4" in bar.out.getvalue()
