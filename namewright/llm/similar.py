@@ -257,7 +257,8 @@ def similar_sets(
     all that it takes and is paired off by a join that splits skewed groups.
     """
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(item_col).alias("item")).filter("id IS NOT NULL AND item IS NOT NULL").select("id", F.xxhash64("item").alias("item"))
-    common, hot = heavy_values(base, "item", "id", share=1 / 1024)
+    # In small tables, too, common members come last: a list of any size only orders and routes.
+    common, hot = heavy_values(base, "item", "id", share=1 / 1024, floor=256)
     common = common[::-1]
     if hot:  # a record with so many rows has its repeats dropped before they meet in one task
         base = base.filter(~is_any(F.col("id"), hot)).unionByName(base.filter(is_any(F.col("id"), hot)).distinct())
