@@ -154,9 +154,9 @@ def find_truncated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", s
     table gives empty results; other columns are ignored whatever their names.
 
     Texts are never shuffled: one scan shuffles hashes of texts with their lengths,
-    the other reads bodies, joins the significant lengths (a few a source, a row
-    for each source) and writes flags and a hashed last line of texts that end
-    without a sentence's end. Lines of whole pages are distinct before
+    the other reads bodies, leaves flags and a hashed last line of texts that end
+    without a sentence's end, and joins those with the significant lengths, a row for
+    each source. Lines of whole pages are distinct before
     the join, so a line with a third of all pages meets one row.
     """
     t = F.col("_text")
@@ -177,11 +177,12 @@ def find_truncated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", s
     own = length_limits(sizes.distinct().select("source", by_unit))
     # A text without a source may come from any, so it is held against all limits.
     every_limit = own.select("source", "unit", "length").unionByName(own.select(F.lit("").alias("source"), "unit", "length"))
-    near = every_limit.groupBy("source").agg(F.collect_set(F.struct("unit", F.col("length").cast("int").alias("length"))).alias("_limits"))
+    # Written, so that the optimizer knows how small it is and sends it to the texts, not the texts to it.
+    near = cut(every_limit.groupBy("source").agg(F.collect_set(F.struct("unit", F.col("length").cast("int").alias("length"))).alias("_limits")))
 
     at_limit = F.lit(False)
-    for u, n in _lengths(t).items():
-        at_limit = at_limit | F.coalesce(F.array_contains(F.col("_limits"), F.struct(F.lit(u).alias("unit"), n.cast("int").alias("length"))), F.lit(False))
+    for u in _lengths(t):
+        at_limit = at_limit | F.coalesce(F.array_contains(F.col("_limits"), F.struct(F.lit(u).alias("unit"), F.col(u).alias("length"))), F.lit(False))
     broken, whole = _received(F.col("_headers"), F.col("_body"))
     entries = F.split(F.col("_end"), r"\|")
     last, several = F.substring_index(F.col("_end"), "|", -1), F.contains(F.col("_end"), F.lit("|"))
@@ -190,8 +191,9 @@ def find_truncated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", s
     open_ = cut(
         base.withColumn("_end", once(_last_line(t)))
         .filter((F.col("_end") != "") & ~_ended(F.col("_end")))
+        .select("id", "source", *[n.cast("int").alias(u) for u, n in _lengths(t).items()], F.xxhash64(plain(F.col("_end"))).alias("shape"), broken.alias("broken"), whole.alias("whole"), framed.alias("framed"), sentence.alias("sentence"))
         .join(near, "source", "left")
-        .select("id", "source", F.xxhash64(plain(F.col("_end"))).alias("shape"), at_limit.alias("at_limit"), broken.alias("broken"), whole.alias("whole"), framed.alias("framed"), sentence.alias("sentence"))
+        .select("id", "source", "shape", at_limit.alias("at_limit"), "broken", "whole", "framed", "sentence")
     )
     reason = (
         F.when(F.col("at_limit") & ~F.col("framed"), "limit")
