@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from namewright.functions import guid as g
 from namewright.operators.database import for_functions, summarised
@@ -21,6 +22,10 @@ from namewright.session import cut
 KEY = ["binary_id", "address"]
 
 
+def _nil(binary: bool) -> Column:
+    return F.lit(bytes(16)) if binary else F.lit(g.NIL)
+
+
 def tiers(hits: DataFrame, db: DataFrame) -> DataFrame:
     """Names by tier for functions with hits(binary_id, address, function_guid, constraint_guid, n, only_symbol).
 
@@ -28,11 +33,12 @@ def tiers(hits: DataFrame, db: DataFrame) -> DataFrame:
     where the tier has none; the intersection is only taken for functions without
     a name from the tiers before. A constraint that hits holds twice counts once.
 
+    GUIDs are text or 16 bytes, the same in both tables; their orders agree.
     Functions with equal GUID and equal constraints ask the same question, which
     is answered once. Only the smallest of a question's sets is spelled out; its
     names are then counted in the others.
     """
-    nil = F.col("constraint_guid") == g.NIL
+    nil = F.col("constraint_guid") == _nil(isinstance(hits.schema["constraint_guid"].dataType, T.BinaryType))
     single = (F.col("n") == 1) & ~nil
     asked = hits.groupBy(*KEY, "function_guid").agg(
         F.max(F.when(nil, F.col("only_symbol"))).alias("nil_name"),
@@ -78,19 +84,19 @@ def match(functions: DataFrame, constraints: DataFrame, calls: DataFrame, db: Da
     The database is cut down to the GUIDs at hand first and its names are counted,
     so the first two tiers never spell out a set. A round looks only at functions
     next to newly named ones, and what it sees of them is written once: what
-    earlier rounds saw stays where it was written.
+    earlier rounds saw stays where it was written. GUIDs travel as 16 bytes.
     """
-    functions = cut(functions.select(*KEY, F.col("guid").alias("function_guid")))
+    functions = cut(functions.select(*KEY, F.unhex("guid").alias("function_guid")))
     calls = cut(calls.select("binary_id", "caller", "target", "address"))
-    db = cut(for_functions(db, functions))
+    db = cut(for_functions(db.select(F.unhex("function_guid").alias("function_guid"), F.unhex("constraint_guid").alias("constraint_guid"), "symbol"), functions))
     sums = cut(summarised(db))
-    static = cut(constraints.select(*KEY, F.col("guid").alias("constraint_guid")).dropna().groupBy(*KEY, "constraint_guid").agg(F.count(F.lit(1)).alias("times")))
+    static = cut(constraints.select(*KEY, F.unhex("guid").alias("constraint_guid")).dropna().groupBy(*KEY, "constraint_guid").agg(F.count(F.lit(1)).alias("times")))
     known = functions.filter("function_guid IS NOT NULL")
 
     def hit(rows: DataFrame) -> DataFrame:
         return rows.join(known, KEY).join(sums, ["function_guid", "constraint_guid"])
 
-    nil = known.select(*KEY, F.lit(g.NIL).alias("constraint_guid"))
+    nil = known.select(*KEY, _nil(True).alias("constraint_guid"))
     hits = cut(hit(static.select(*KEY, "constraint_guid").unionByName(nil)))
     ends = F.array(F.struct(F.col("caller").alias("address"), F.col("target").alias("far"), F.lit("child").alias("side")), F.struct(F.col("target").alias("address"), F.col("caller").alias("far"), F.lit("parent").alias("side")))
 
@@ -98,7 +104,7 @@ def match(functions: DataFrame, constraints: DataFrame, calls: DataFrame, db: Da
         """A row for each call edge to a named function: the constraint its name makes, and the round it was named in."""
         far = named.select("binary_id", F.col("address").alias("far"), "round", g.symbol_calls(F.col("symbol_name")).alias("pair"))
         made = F.when(F.col("side") == "child", F.col("pair.child")).otherwise(F.col("pair.parent"))
-        return calls.select("binary_id", F.inline(ends)).join(far, ["binary_id", "far"]).select(*KEY, made.alias("constraint_guid"), "round")
+        return calls.select("binary_id", F.inline(ends)).join(far, ["binary_id", "far"]).select(*KEY, F.unhex(made).alias("constraint_guid"), "round")
 
     named, fresh, round_ = None, None, 0
     while max_rounds is None or round_ < max_rounds:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from namewright.functions import guid as g
 from namewright.operators import constraints as c
 from namewright.operators import database
+from namewright.session import cut
 
 BINARIES = ("ref", "tgt")
 
@@ -29,6 +30,10 @@ class Corpus:
         keep = F.col("binary_id") == binary_id
         return Corpus(self.functions.filter(keep), self.calls.filter(keep), self.data_refs.filter(keep))
 
+    def written(self) -> Corpus:
+        """The same tables written once, for plans that read them several times."""
+        return Corpus(cut(self.functions), cut(self.calls), cut(self.data_refs))
+
     @property
     def labels(self) -> DataFrame:
         return self.functions.select("binary_id", "address", "name")

@@ -245,14 +245,14 @@ def prefix_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _match(spark: SparkSession, sf_dir: str, rounds: int | None = None) -> matching.Matches:
-    c = corpus.load(spark, sf_dir)
+    c = corpus.load(spark, sf_dir).written()
     target = c.only("tgt")
     return matching.match(target.functions, target.static(), target.calls, corpus.reference_db(c), rounds)
 
 
 def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus.load(spark, sf_dir)
-    db, target = corpus.reference_db(c), c.only("tgt")
+    c = corpus.load(spark, sf_dir).written()
+    db, target = cut(corpus.reference_db(c)), c.only("tgt")
     nil = target.functions.select("binary_id", "address", F.lit(g.NIL).alias("guid"))
     seen = constraints.distinct_constraints(target.static()).unionByName(nil).withColumnRenamed("guid", "constraint_guid")
     known = target.functions.select("binary_id", "address", F.col("guid").alias("function_guid"))
