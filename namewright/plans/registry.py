@@ -574,7 +574,7 @@ def pdb_procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pdb_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity and sections of written symbol files, and whether they may be replaced."""
-    return pdb.identities(images.files(spark, sf_dir, "pdb")).select("path", "guid", "age", "signature", "replaceable", "sections", "modules", "publics")
+    return pdb.identities(images.files(spark, sf_dir, "pdb")).select("path", "guid", "age", "signature", "replaceable", "sections", "modules", "publics", "found")
 
 
 def _fold(spark: SparkSession, sf_dir: str):
@@ -762,7 +762,7 @@ SQL |= {
         UNION ALL SELECT path, place, place + branch_end, 1 FROM pt UNION ALL SELECT path, place, place + branch_end + 2, CASE WHEN jumps THEN 1 ELSE 2 END FROM pt""",
     "pdb_procedures": f"""{_PDB} SELECT path, 1 AS producer_idx, 2 * k AS symbol_idx, name, {images.TEXT} + 64 * k AS rva, 40 AS len, false AS damaged FROM sym""",
     "pdb_identity": f"""{_I} SELECT 's' || s || '.pdb' AS path, md5('s' || s) AS guid, s % 9 + 1 AS age, 1000000 + s AS signature, true AS replaceable,
-        '.text {images.TEXT} ' || 64 * cnt AS sections, '.text_module' AS modules, cnt AS publics FROM img""",
+        '.text {images.TEXT} ' || 64 * cnt AS sections, '.text_module' AS modules, cnt AS publics, cnt AS found FROM img""",
     "fold_round_trip": f"{_C} SELECT * FROM db",
     "fold_lookup": f"{_C} SELECT constraint_guid, symbol FROM db WHERE function_guid = (SELECT guid FROM fn WHERE binary_id = 'ref' AND address = 1)",
     "fold_lookup_miss": f"{_C} SELECT constraint_guid, symbol FROM db WHERE function_guid = repeat('44', 16)",

@@ -24,12 +24,43 @@ LF_ARGLIST, LF_PROCEDURE = 0x1201, 0x1008
 FIRST_TYPE = 0x1000
 #: An entry with this word in a file's environment block allows the file to be replaced.
 CANARY = "pdbgen_canary"
+# Fixed values of hash tables of names.
+HASH_SIGNATURE, BUCKETS, CHAIN = 0xEFFE0000 + 19990810, 4096, 12
 
 
 class BadSymbols(ValueError):
     """The file is no symbol file this reader understands."""
 
 
+def name_hash(name: bytes) -> int:
+    """The hash of a symbol's name: words of four, then two, then one byte xored, letter case left aside."""
+    n = len(name) & ~3
+    value = 0
+    for (word,) in struct.iter_unpack("<I", name[:n]):
+        value ^= word
+    if len(name) & 2:
+        value ^= struct.unpack_from("<H", name, n)[0]
+    if len(name) & 1:
+        value ^= name[-1]
+    value |= 0x20202020
+    value ^= value >> 11
+    return value ^ (value >> 16)
+
+
+def _hash_table(records: list[tuple[int, bytes]]) -> bytes:
+    """The table of symbols (offset in the record stream, name): records bucket by bucket, a bit for each bucket in use, where it begins."""
+    by: dict[int, list] = {}
+    for offset, name in records:
+        by.setdefault(name_hash(name) % BUCKETS, []).append((len(name), name.lower(), offset))
+    rows, bits, starts = b"", bytearray((BUCKETS + 32) // 32 * 4), []
+    for bucket in sorted(by):
+        bits[bucket >> 3] |= 1 << (bucket & 7)
+        starts.append(len(rows) // 8 * CHAIN)
+        rows += b"".join(struct.pack("<II", offset + 1, 1) for _, _, offset in sorted(by[bucket]))
+    buckets = (bytes(bits) + struct.pack(f"<{len(starts)}I", *starts)) if by else b""
+    return struct.pack("<iIII", -1, HASH_SIGNATURE, len(rows), len(buckets)) + rows + buckets
+
+
 class Slices:
     """Bytes of a file, or of parts of it in a row."""
 
@@ -83,10 +114,10 @@ class SymbolFile:
         _, self.signature, self.age = struct.unpack_from("<3I", self.streams[1])
         self.guid = self.streams[1][12:28].hex()
         dbi = self.streams[3] if len(self.streams) > 3 else b""
-        self.globals, self.modules, self.headers = 0xFFFF, [], b""
+        self.globals, self.public_hash, self.modules, self.headers = 0xFFFF, 0xFFFF, [], b""
         if len(dbi) < 64:
             return
-        self.globals = struct.unpack_from("<H", dbi, 20)[0]
+        self.public_hash, self.globals = struct.unpack_from("<H", dbi, 16)[0], struct.unpack_from("<H", dbi, 20)[0]
         mods, contributions, secmap, sources, types, _, debug, ec = struct.unpack_from("<8i", dbi, 24)
         at = 64
         while at < 64 + mods:
@@ -140,6 +171,28 @@ class SymbolFile:
         data = self.streams[self.globals] if self.globals < len(self.streams) else b""
         return [body[10:].split(b"\0")[0].decode("utf-8", "replace") for kind, body in self.records(data) if kind == S_PUB32 and len(body) > 10]
 
+    def find_public(self, name: str) -> tuple[int, int] | None:
+        """Section and offset of a public symbol, by the hash table of names; None if it has none of this name."""
+        if max(self.public_hash, self.globals) >= len(self.streams):
+            return None
+        table, symbols, raw = self.streams[self.public_hash], self.streams[self.globals], name.encode()
+        _, _, size, rest = struct.unpack_from("<iIII", table, 28)
+        bucket, at = name_hash(raw) % BUCKETS, 44 + size
+        if not rest or not table[at + (bucket >> 3)] >> (bucket & 7) & 1:
+            return None
+        width = (BUCKETS + 32) // 32 * 4
+        before = int.from_bytes(table[at : at + width], "little") & ((1 << bucket) - 1)
+        starts = [x // CHAIN for x in struct.unpack_from(f"<{(rest - width) // 4}I", table, at + width)] + [size // 8]
+        place = before.bit_count()
+        for i in range(starts[place], starts[place + 1]):
+            offset = struct.unpack_from("<I", table, 44 + 8 * i)[0] - 1
+            length, kind = struct.unpack_from("<HH", symbols, offset)
+            body = symbols[offset + 4 : offset + 2 + length]
+            if kind == S_PUB32 and body[10:].split(b"\0")[0] == raw:
+                where, section = struct.unpack_from("<IH", body, 4)
+                return section, where
+        return None
+
     def environment(self) -> list[str]:
         """Entries of environment blocks among the global symbols."""
         data = self.streams[self.globals] if self.globals < len(self.streams) else b""
@@ -174,11 +227,11 @@ def procedures(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, producer_idx int, symbol_idx int, name string, rva long, len long, error string")
 
 
-_IDENTITY = pa.schema([("path", pa.string()), ("guid", pa.string()), ("age", pa.int64()), ("signature", pa.int64()), ("replaceable", pa.bool_()), ("sections", pa.string()), ("modules", pa.string()), ("publics", pa.int64()), ("error", pa.string())])
+_IDENTITY = pa.schema([("path", pa.string()), ("guid", pa.string()), ("age", pa.int64()), ("signature", pa.int64()), ("replaceable", pa.bool_()), ("sections", pa.string()), ("modules", pa.string()), ("publics", pa.int64()), ("found", pa.int64()), ("error", pa.string())])
 
 
 def identities(files: DataFrame) -> DataFrame:
-    """One row a symbol file (path, content): identity, whether this writer made it, sections, modules, number of public symbols, or an error."""
+    """One row a symbol file (path, content): identity, whether this writer made it, sections, modules, number of public symbols and of those its table of names leads to, or an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,12 +240,12 @@ def identities(files: DataFrame) -> DataFrame:
                 try:
                     s = SymbolFile(Slices(content.as_py() or b""))
                     row |= {"guid": s.guid, "age": s.age, "signature": s.signature, "replaceable": any(CANARY in x for x in s.environment())}
-                    row |= {"sections": ",".join(f"{n} {a} {z}" for n, a, z in s.sections()), "modules": ",".join(m[0] for m in s.modules), "publics": len(s.publics())}
+                    row |= {"sections": ",".join(f"{n} {a} {z}" for n, a, z in s.sections()), "modules": ",".join(m[0] for m in s.modules), "publics": len(s.publics()), "found": sum(s.find_public(n) is not None for n in s.publics())}
                 except BadSymbols as error:
                     row["error"] = str(error)
                 yield pa.RecordBatch.from_pylist([row], schema=_IDENTITY)
 
-    return files.select("path", "content").mapInArrow(run, "path string, guid string, age long, signature long, replaceable boolean, sections string, modules string, publics long, error string")
+    return files.select("path", "content").mapInArrow(run, "path string, guid string, age long, signature long, replaceable boolean, sections string, modules string, publics long, found long, error string")
 
 
 def _record(kind: int, body: bytes) -> bytes:
@@ -205,8 +258,8 @@ def encode(identity: tuple[str, int, int], sections: list[tuple], functions: lis
     size_of_raw_data, pointer_to_raw_data, characteristics) in order; functions: (section from 1, offset, size, name).
 
     One module for each section that has functions, a global procedure and a
-    public symbol for each function, all of the type void(), and the mark that
-    lets the file be replaced.
+    public symbol for each function, all of the type void(), tables that find public
+    symbols by name and by address, and the mark that lets the file be replaced.
     """
     guid, age, signature = identity
     types = [struct.pack("<HI", LF_ARGLIST, 0), struct.pack("<HIBBHI", LF_PROCEDURE, 3, 0, 0, 0, FIRST_TYPE)]
@@ -232,7 +285,7 @@ def encode(identity: tuple[str, int, int], sections: list[tuple], functions: lis
             end = struct.pack("<I", at + len(procedure))
             parts += [procedure[:8] + end + procedure[12:], _record(S_END, b"")]
             at += len(procedure) + 4
-            public.append(_record(S_PUB32, struct.pack("<IIH", 2, offset, number) + text))
+            public.append((number, offset, text[:-1], _record(S_PUB32, struct.pack("<IIH", 2, offset, number) + text)))
         data = b"".join(parts)
         contribution = struct.pack("<HHiiIHHII", number, 0, 0, size, flags, len(modules), 0, 0, 0)
         streams.append(data + struct.pack("<I", 0))
@@ -240,9 +293,15 @@ def encode(identity: tuple[str, int, int], sections: list[tuple], functions: lis
         entry += f"{name}_module".encode() + b"\0" + f"{name}.obj".encode() + b"\0"
         modules.append(entry + b"\0" * (-len(entry) % 4))
         contributions.append(contribution)
-    symbols = b"".join(public) + _record(S_ENVBLOCK, b"\0" + f"made from matched names, may be replaced: {CANARY}".encode() + b"\0\0")
-    empty_hash = struct.pack("<iIII", -1, 0xEFFE0000 + 19990810, 0, 0)
-    streams += [symbols, empty_hash, struct.pack("<IIIIHHII", len(empty_hash), 0, 0, 0, 0, 0, 0, 0) + empty_hash]
+    places, at = [], 0
+    for *_, record in public:
+        places.append(at)
+        at += len(record)
+    names = _hash_table([(where, name) for where, (_, _, name, _) in zip(places, public)])
+    by_address = [where for *_, where in sorted((number, offset, name, where) for where, (number, offset, name, _) in zip(places, public))]
+    symbols = b"".join(record for *_, record in public) + _record(S_ENVBLOCK, b"\0" + f"made from matched names, may be replaced: {CANARY}".encode() + b"\0\0")
+    published = struct.pack("<IIIIHHII", len(names), 4 * len(public), 0, 0, 0, 0, 0, len(sections)) + names + struct.pack(f"<{len(public)}I", *by_address)
+    streams += [symbols, _hash_table([]), published]
     records, global_hash, public_hash = len(streams) - 3, len(streams) - 2, len(streams) - 1
     headers = b"".join(struct.pack("<8sIIIIIIHHI", n.encode()[:8], size, a, raw, pointer, 0, 0, 0, 0, flags) for n, a, size, raw, pointer, flags in sections)
     streams.append(headers)

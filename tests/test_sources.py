@@ -190,6 +190,8 @@ def test_symbol_file(tmp_path):
     s = pdb.SymbolFile(pdb.Slices(symbols(places)))
     assert (s.guid, s.age, s.signature) == (GUID, 7, 1234567)
     assert {p["name"]: p["rva"] + BASE for p in s.procedures()} == {n: places[n] for n in CODE if n != "pad"}
+    assert {n: s.find_public(n) for n in CODE if n != "pad"} == {n: (1, places[n] - BASE - 0x1000) for n in CODE if n != "pad"}
+    assert s.find_public("nothing") is None and s.find_public("MAIN") is None and pdb.SymbolFile(pdb.Slices(pdb.encode((GUID, 7, 1), [], []))).find_public("main") is None
     for damaged in (b"", b"x" * 5000, symbols(places)[:9000]):
         with pytest.raises(pdb.BadSymbols):
             pdb.SymbolFile(pdb.Slices(damaged))
@@ -205,6 +207,17 @@ def test_symbol_file(tmp_path):
     assert pdb.Slices(b"abcdef").view([(4, 2), (0, 1)]) == b"efa"
 
 
+def test_tables_of_names(tmp_path):
+    names = [f"f{i}" for i in range(9000)] + ["ünï", "a" * 300, "Main", "main", "x"]
+    s = pdb.SymbolFile(pdb.Slices(pdb.encode((GUID, 1, 1), [(".text", 0x1000, 1 << 20, 1 << 20, 0x400, 0x60000020)], [(1, 16 * i, 4, n) for i, n in enumerate(names)])))
+    assert all(s.find_public(n) == (1, 16 * i) for i, n in enumerate(names))
+    table = s.streams[s.public_hash]
+    size, addresses = struct.unpack_from("<II", table)
+    assert 28 + size + addresses == len(table) and addresses == 4 * len(names)
+    # The hash of a name does not tell upper from lower case.
+    assert pdb.name_hash(b"Main") == pdb.name_hash(b"mAIN") != pdb.name_hash(b"main2")
+
+
 # --- from end to end ----------------------------------------------------------------
 
 
