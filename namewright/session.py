@@ -53,6 +53,12 @@ def forget_later(spark: SparkSession, path: str) -> None:
     _written.append((spark, path))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something lies at a path, in whatever store the session reads it from."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def discard() -> None:
     """Delete everything cut() wrote; also runs when the driver exits."""
     while _written:

@@ -17,10 +17,14 @@ from __future__ import annotations
 
 import mmap
 import os
+import re
 import struct
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -45,16 +49,45 @@ FUNCTION, CONSTRAINT = Layout("<16sII"), Layout("<III")
 COUNT = Layout("<I")
 
 MAGIC = "NWNAMES"
+TOO_LARGE = "beyond 2^32 do not fit this format; keep the database as Parquet"
 SCHEMA = "function_guid string, constraint_guid string, symbol string"
 
 
+class Pages:
+    """Bytes of a file of any store, read in pages of which the last used are kept."""
+
+    SIZE, KEPT = 1 << 20, 64
+
+    def __init__(self, file: pa.NativeFile) -> None:
+        self.file, self.length, self.pages = file, file.size(), OrderedDict()
+
+    def __len__(self) -> int:
+        return self.length
+
+    def _page(self, n: int) -> bytes:
+        if n in self.pages:
+            self.pages.move_to_end(n)
+        else:
+            self.pages[n] = self.file.read_at(min(self.SIZE, self.length - n * self.SIZE), n * self.SIZE)
+            if len(self.pages) > self.KEPT:
+                self.pages.popitem(last=False)
+        return self.pages[n]
+
+    def __getitem__(self, part: slice) -> bytes:
+        start, stop, _ = part.indices(self.length)
+        if stop <= start:
+            return b""
+        first, last = start // self.SIZE, (stop - 1) // self.SIZE
+        return b"".join(self._page(n) for n in range(first, last + 1))[start - first * self.SIZE : stop - first * self.SIZE]
+
+
 class Fold:
-    """Random access to a file's bytes."""
+    """Random access to a file's bytes: in memory, mapped, or in pages."""
 
-    def __init__(self, data: bytes | mmap.mmap, magic: str = MAGIC) -> None:
+    def __init__(self, data: bytes | mmap.mmap | Pages, magic: str = MAGIC) -> None:
         if len(data) < HEADER.size:
             raise ValueError("file too short for a header")
-        mark, version, *self.at = HEADER.unpack_from(data)
+        mark, version, *self.at = HEADER.unpack_from(data[: HEADER.size])
         if mark != magic.encode():
             raise ValueError(f"marker {mark!r} is not {magic!r}")
         if version != VERSION:
@@ -64,25 +97,28 @@ class Fold:
         self.data = data
         self.strings, self.guids, self.lists, self.pairs, self.functions = self.at
 
+    def _row(self, layout: Layout, at: int) -> tuple:
+        return layout.unpack_from(self.data[at : at + layout.size])
+
     def function_count(self) -> int:
-        return COUNT.unpack_from(self.data, self.functions)[0]
+        return self._row(COUNT, self.functions)[0]
 
     def function(self, i: int) -> tuple[str, int, int]:
-        guid, first, n = FUNCTION.unpack_from(self.data, self.functions + 4 + FUNCTION.size * i)
+        guid, first, n = self._row(FUNCTION, self.functions + 4 + FUNCTION.size * i)
         return guid.hex(), first, n
 
     def string(self, offset: int) -> str:
         start = self.strings + offset
-        n = COUNT.unpack_from(self.data, start)[0]
+        n = self._row(COUNT, start)[0]
         return self.data[start + 4 : start + 4 + n].decode()
 
     def constraints(self, i: int) -> Iterator[tuple[str, list[str]]]:
         """Constraint GUIDs of the i-th function with their names."""
         _, first, n = self.function(i)
         for k in range(first, first + n):
-            guid, size, begin = CONSTRAINT.unpack_from(self.data, self.pairs + 4 + CONSTRAINT.size * k)
-            at = self.guids + 4 + 16 * guid
-            offsets = struct.unpack_from(f"<{size}I", self.data, self.lists + 4 + 4 * begin)
+            guid, size, begin = self._row(CONSTRAINT, self.pairs + 4 + CONSTRAINT.size * k)
+            at, list_at = self.guids + 4 + 16 * guid, self.lists + 4 + 4 * begin
+            offsets = struct.unpack(f"<{size}I", self.data[list_at : list_at + 4 * size])
             yield self.data[at : at + 16].hex(), [self.string(o) for o in offsets]
 
     def find(self, guid: str) -> int | None:
@@ -102,8 +138,16 @@ class _Span(InputPartition):
         self.path, self.first, self.past = path, first, past
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The store that a path belongs to, by its scheme, and the path there; without a scheme it is this machine's."""
+    return fs.FileSystem.from_uri(path) if re.match("[A-Za-z][A-Za-z0-9+.-]+:", path) else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
 def _open(path: str, magic: str) -> Fold:
-    with open(path, "rb") as file:
+    store, place = _store(path)
+    if not isinstance(store, fs.LocalFileSystem):
+        return Fold(Pages(store.open_input_file(place)), magic)
+    with open(place, "rb") as file:
         size = os.fstat(file.fileno()).st_size
         return Fold(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) if size else b"", magic)
 
@@ -112,7 +156,7 @@ class FoldReader(DataSourceReader):
     """Spans of functions, each read by its own task from the mapped file."""
 
     def __init__(self, options: dict) -> None:
-        self.path, self.magic = options["path"].removeprefix("file://"), options.get("magic", MAGIC)
+        self.path, self.magic = options["path"], options.get("magic", MAGIC)
         self.span, self.only = int(options.get("span", 50_000)), options.get("function")
 
     def partitions(self) -> list[InputPartition]:
@@ -138,36 +182,47 @@ class _Written(WriterCommitMessage):
 
 
 class FoldWriter(DataSourceWriter):
-    """One task writes the file: its indices are global. Larger databases are kept as Parquet."""
+    """One task writes the file: its indices are global. Larger databases are kept as Parquet.
+
+    The part is written beside the file, in the store that the path names by its
+    scheme, so on a cluster task and driver see the same one.
+    """
 
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.path, self.magic, self.overwrite = options["path"].removeprefix("file://"), options.get("magic", MAGIC), overwrite
+        self.path, self.magic, self.overwrite = options["path"], options.get("magic", MAGIC), overwrite
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         part = f"{self.path}.{uuid.uuid4().hex}"
-        with open(part, "wb") as file:
-            file.write(encode(((r.function_guid, r.constraint_guid, r.symbol) for r in rows), self.magic))
+        store, place = _store(part)
+        data = encode(((r.function_guid, r.constraint_guid, r.symbol) for r in rows), self.magic)
+        with store.open_output_stream(place) as file:
+            file.write(data)
         return _Written(part)
 
     def commit(self, messages: list) -> None:
         parts = [m.part for m in messages if m]
-        full = [p for p in parts if os.path.getsize(p) > len(encode([], self.magic))]
+        size = lambda p: (lambda s, place: s.get_file_info(place).size)(*_store(p))
+        full = [p for p in parts if size(p) > len(encode([], self.magic))]
+        store, place = _store(self.path)
         if len(full) > 1:
             self.abort(messages)
             raise ValueError("the file is written by one task: use coalesce(1)")
-        if os.path.exists(self.path) and not self.overwrite:
+        if store.get_file_info(place).type != fs.FileType.NotFound and not self.overwrite:
             self.abort(messages)
             raise FileExistsError(self.path)
         keep = (full or parts)[0]
-        os.replace(keep, self.path)
-        for p in parts:
-            if p != keep:
-                os.remove(p)
+        store.move(_store(keep)[1], place)
+        self._remove(p for p in parts if p != keep)
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            if m and os.path.exists(m.part):
-                os.remove(m.part)
+        self._remove(m.part for m in messages if m)
+
+    @staticmethod
+    def _remove(parts) -> None:
+        for part in parts:
+            store, place = _store(part)
+            if store.get_file_info(place).type != fs.FileType.NotFound:
+                store.delete_file(place)
 
 
 class FoldSource(DataSource):
@@ -201,7 +256,7 @@ def encode(rows, magic: str = MAGIC) -> bytes:
         place[name] = len(strings)
         strings += COUNT.pack(len(raw)) + raw
         if len(strings) >= 1 << 32:
-            raise ValueError("strings beyond 4 GiB do not fit this format; keep the database as Parquet")
+            raise ValueError(f"strings {TOO_LARGE}")
     lists, pairs, functions = [], bytearray(), bytearray()
     pair = 0
     for function in sorted(nested):
@@ -212,6 +267,8 @@ def encode(rows, magic: str = MAGIC) -> bytes:
             pairs += CONSTRAINT.pack(number[constraint], len(group), len(lists))
             lists += [place[s] for s in group]
             pair += 1
+    if max(len(lists), pair, len(guids), len(nested)) >= 1 << 32:
+        raise ValueError(f"lists {TOO_LARGE}")
     sections = [
         bytes(strings),
         COUNT.pack(len(guids)) + bytes.fromhex("".join(guids)),

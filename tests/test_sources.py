@@ -72,6 +72,19 @@ def test_fold_source(spark, tmp_path, rows):
     assert spark.read.format("fold").load(path).count() == 0
 
 
+def test_fold_in_pages(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(fold.Pages, "SIZE", 7)
+    monkeypatch.setattr(fold.Pages, "KEPT", 2)
+    path = tmp_path / "x.fold"
+    path.write_bytes(fold.encode(ROWS))
+    f = fold.Fold(fold.Pages(pa.OSFile(str(path))))
+    assert sorted((f.function(i)[0], c, n) for i in range(f.function_count()) for c, names in f.constraints(i) for n in names) == sorted(ROWS)
+    store, place = fold._store(f"file://{path}")
+    assert place == str(path) == fold._store(str(path))[1]
+
+
 # --- the decoder ------------------------------------------------------------------
 
 
