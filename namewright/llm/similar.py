@@ -70,7 +70,7 @@ def _sets(least: int):
     return run
 
 
-def _band_keys(words: np.ndarray, starts: np.ndarray, bands: int, rows: int, salt: int = 0) -> Iterator[np.ndarray]:
+def _band_keys(words: np.ndarray, starts: np.ndarray, bands: int, rows: int, salt: int) -> Iterator[np.ndarray]:
     """The bucket keys of sets of words that begin at starts, band by band: a key mixes the least hashes of its rows."""
     seeds = _mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * _MIX + np.uint64(salt))
     for b in range(bands):
@@ -86,7 +86,7 @@ def _flat(items: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return items.flatten().to_numpy(), (offsets[:-1] - offsets[0]).astype(np.int64), np.diff(offsets).astype(np.int64)
 
 
-def _bands(bands: int, rows: int):
+def _bands(bands: int, rows: int, salt: int = 0):
     """Rows (cls, items) to one row for each band: the key of its bucket, and cls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +94,7 @@ def _bands(bands: int, rows: int):
             if not batch.num_rows:
                 continue
             members, starts, _ = _flat(batch.column("items"))
-            for key in _band_keys(members.view(np.uint64), starts, bands, rows):
+            for key in _band_keys(members.view(np.uint64), starts, bands, rows, salt):
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("cls")], names=["key", "cls"])
 
     return run
@@ -154,26 +154,23 @@ def _pairs(bucket: int):
 
 
 def _refined(threshold: float, depth: int, common: list[int]):
-    """Rows (cls, items) that met in large buckets to (finer key, cls).
+    """Rows (key, cls, items) of large buckets to (finer key, cls).
 
     In one order of all members, common ones last, two sets with an overlap of at
     least n share depth of the first size - n + depth members: each of those gives
-    a finer bucket. depth 2 takes pairs of them. Large sets would give too many; sets over
-    PAIRED members take the bands of FINE instead, which miss a pair of similarity
-    s with a chance of (1 - s^rows)^bands, 7e-5 and 2e-4 at 0.6. Sets up to
-    PAIRED / threshold take members, so two similar sets always have one way in common.
+    a finer bucket. depth 2 takes pairs of them.
     """
     common_sorted = np.array(sorted(common), np.int64)
     place = np.array([common.index(x) + 1 for x in sorted(common)], np.int64)
 
-    def keyed(key: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls)], names=["key", "cls"])
+    def keyed(key: np.ndarray, finer: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(_mix(finer + key.view(np.uint64)).view(np.int64)), pa.array(cls)], names=["key", "cls"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cls = batch.column("cls").to_numpy()
+            key, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
             members, starts, sizes = _flat(batch.column("items"))
             row = np.repeat(np.arange(len(sizes)), sizes)
             if len(common_sorted):
@@ -183,27 +180,37 @@ def _refined(threshold: float, depth: int, common: list[int]):
                 rank = np.zeros(len(members), np.int64)
             ordered = members[np.lexsort((members, rank, row))].view(np.uint64)
             first = np.minimum(sizes, sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + depth)
-            small = sizes <= PAIRED / threshold
             if depth == 1:
-                inside = (np.arange(len(ordered)) - np.repeat(starts, sizes) < np.repeat(first, sizes)) & small[row]
-                yield keyed(_mix(ordered[inside]), cls[row[inside]])
-            for n in np.unique(first[small]).tolist() if depth == 2 else ():
-                own = np.flatnonzero(small & (first == n))
+                inside = np.arange(len(ordered)) - np.repeat(starts, sizes) < np.repeat(first, sizes)
+                yield keyed(key[row[inside]], _mix(ordered[inside]), cls[row[inside]])
+                continue
+            for n in np.unique(first).tolist():
+                own = np.flatnonzero(first == n)
                 block = max(1, 2_000_000 // max(1, n * n))
                 for some in (own[i : i + block] for i in range(0, len(own), block)):
                     prefix = _mix(ordered[starts[some][:, None] + np.arange(n)])
                     i, j = np.triu_indices(n, 1)
-                    yield keyed(_mix(prefix[:, i] * np.uint64(3) + prefix[:, j]).ravel(), np.repeat(cls[some], len(i)))
-            large = np.flatnonzero(sizes > PAIRED)
-            if len(large):
-                words = np.concatenate([members[starts[r] : starts[r] + sizes[r]] for r in large]).view(np.uint64)
-                begins = np.concatenate(([0], np.cumsum(sizes[large])[:-1]))
-                for key in _band_keys(words, begins, *FINE[depth], salt=depth):
-                    yield keyed(key, cls[large])
+                    yield keyed(np.repeat(key[some], len(i)), _mix(prefix[:, i] * np.uint64(3) + prefix[:, j]).ravel(), np.repeat(cls[some], len(i)))
 
     return run
 
 
+def _finer(large: DataFrame, classes: DataFrame, threshold: float, depth: int, common: list[int]) -> DataFrame:
+    """Rows (key, cls) of large buckets to (finer key, cls).
+
+    Sets up to PAIRED / threshold members are told apart within each bucket by
+    members. Of larger ones those would be too many: sets over PAIRED members take
+    the bands of FINE, once however many large buckets they are in, which miss a pair of
+    similarity s with a chance of (1 - s^rows)^bands, 7e-5 and 2e-4 at 0.6. Two
+    similar sets always have one of both ways in common.
+    """
+    size, schema = F.size("items"), "key long, cls long"
+    of = classes.select("cls", "items")
+    small = large.join(of.filter(size <= PAIRED / threshold), "cls").select("key", "cls", "items").mapInArrow(_refined(threshold, depth, common), schema)
+    big = of.filter(size > PAIRED).join(large.select("cls").distinct(), "cls", "left_semi").mapInArrow(_bands(*FINE[depth], salt=depth), schema)
+    return small.unionByName(big)
+
+
 @dataclass
 class SimilarSets:
     """classes(cls, n): classes of equal sets, named by their least id; members(id, cls);
@@ -272,11 +279,10 @@ def similar_sets(
     proposed = [found.filter("b IS NOT NULL").select("a", "b")]
     # At a threshold up to a half, small sets may share a single member, and pairs of members would lose them.
     for depth in (1, 2) if threshold > 0.5 else (1,):
-        # What is shared by similar sets does not depend on the bucket in which they met: a class refines once, however many large buckets it is in.
-        large = found.filter("b IS NULL").select(F.col("a").alias("cls")).distinct()
+        large = found.filter("b IS NULL").select("key", F.col("a").alias("cls"))
         if large.isEmpty():
             break
-        finer = classes.select("cls", "items").join(large, "cls", "left_semi").mapInArrow(_refined(threshold, depth, common), "key long, cls long")
+        finer = _finer(large, classes, threshold, depth, common)
         found = paired(finer)
         proposed.append(found.filter("b IS NOT NULL").select("a", "b"))
     else:

@@ -490,20 +490,20 @@ def test_similar_large_sets_in_one_bucket(spark):
     assert got <= expected and len(got) >= 0.99 * len(expected) and len(expected) > 130
 
 
-def test_finer_keys_meet_for_similar_sets():
-    """Pairs of members and finer bands each miss nothing on their side of the boundary."""
+def test_finer_keys_meet_for_similar_sets(spark):
+    """Members and finer bands each miss nothing on their side of the boundary, and are not too many."""
     draw = np.random.default_rng(5)
     for size in (10, 60, 70, 100, 110, 200):
         a = np.unique(draw.integers(0, 1 << 50, size))
         b = np.unique(np.concatenate((a[: int(size * 0.8)], draw.integers(1 << 51, 1 << 52, int(size * 0.15)))))
         assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.6
+        classes = spark.createDataFrame([(1, a.tolist()), (2, b.tolist())], "cls long, items array<long>")
+        large = spark.createDataFrame([(7, 1), (7, 2), (8, 1)], "key long, cls long")
         for depth in (1, 2):
-            rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a, b])], names=["cls", "items"])
-            keys = defaultdict(set)
-            for out in similar._refined(0.6, depth, a[:3].tolist())([rows]):
-                for k, c in zip(*map(lambda x: x.to_pylist(), out.columns)):
-                    keys[c].add(k)
-            assert keys[1] & keys[2] and max(map(len, keys.values())) <= 1500
+            keys = defaultdict(Counter)
+            for r in similar._finer(large, classes, 0.6, depth, a[:3].tolist()).collect():
+                keys[r.cls][r.key] += 1
+            assert set(keys[1]) & set(keys[2]) and sum(keys[2].values()) <= 1500
 
 
 def test_a_record_with_a_third_of_all_rows(spark):
