@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,9 +61,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def discard() -> None:
-    """Delete everything cut() wrote; also runs when the driver exits."""
-    while _written:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end what was written within; results that are still needed must have been read or saved by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        discard(before)
+
+
+def discard(keep: int = 0) -> None:
+    """Delete everything cut() wrote but the first so many; also runs when the driver exits."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from namewright import session
 from namewright.functions import guid as g
 from namewright.operators import blocks, constraints, database, graph, matching, procedures, ranges
 from namewright.plans import corpus
@@ -179,3 +180,12 @@ def test_instructions_in_blocks(spark, rows):
     code = spark.createDataFrame([("x", 1, i, f"{i:02x}") for i in range(10)] + [("y", 1, 1, "ff"), ("z", 1, 1, "ee")], "binary_id string, entry_point long, ip long, code string")
     got = rows(blocks.within_blocks(code, spans, "code"))
     assert got == [("x", 1, 0, 4, i, f"{i:02x}") for i in range(4)] + [("x", 1, 6, 8, i, f"{i:02x}") for i in (6, 7)] + [("y", 1, 0, 2, 1, "ff")]
+
+
+def test_scratch_is_deleted(spark):
+    kept = session.cut(spark.range(3))
+    with session.scratch():
+        inner = session.cut(spark.range(4))
+        path = inner.inputFiles()[0].rsplit("/", 1)[0]
+        assert inner.count() == 4 and session.exists(spark, path)
+    assert not session.exists(spark, path) and kept.count() == 3
