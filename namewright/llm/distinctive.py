@@ -99,8 +99,8 @@ def distinctive_terms(df: DataFrame, record: str, term: str, place: str, total:
     once, an empty table gives none, other columns are ignored.
 
     One shuffle by term, since a term's histogram and its rows are then in one
-    place and no join follows. Terms with a large share of all rows are counted
-    where they are with map-side combining and their fitted histograms, one for
+    place and no join follows. Terms with a large share of all rows, or with more
+    rows than a task should hold (skew.CEILING), are counted where they are with map-side combining and their fitted histograms, one for
     each of the few such terms, are broadcast; their rows are shuffled by term
     and record.
     """

@@ -173,7 +173,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, seed: int = 0, buckets:
     docs(id, source, tokens): a document in several sources has a row for each.
     Sources are compared trimmed and in lower case; of targets alike so the one
     written least counts; rows of others, and rows without id or source, take no
-    part; null tokens are none; repeated rows count once, with the most tokens. The
+    part; null or negative tokens are none, as are shares that are null, negative
+    or no number; repeated rows count once, with the most tokens. The
     size aimed at is the tokens of all documents that take part, a quota the share
     of it as written in decimals, rounded up to whole tokens. A source without
     documents has nothing to route. Other columns are ignored. Every choice depends
@@ -188,9 +189,10 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, seed: int = 0, buckets:
     spark = docs.sparkSession
     key = lambda c: F.lower(F.trim(c))
     wanted = targets.select(key(F.col("source")).alias("k"), "source", "target_share", "max_repeats").filter("k IS NOT NULL").groupBy("k").agg(F.min(F.struct("source", "target_share", "max_repeats")).alias("t"))
-    listed = {r.k: (r.t.source, r.t.target_share or 0.0, max(0, r.t.max_repeats or 0)) for r in wanted.toLocalIterator()}
+    share = lambda x: x if x and 0 < x < math.inf else 0.0
+    listed = {r.k: (r.t.source, share(r.t.target_share), max(0, r.t.max_repeats or 0)) for r in wanted.toLocalIterator()}
     held = cut(
-        docs.select("id", key(F.col("source")).alias("k"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"))
+        docs.select("id", key(F.col("source")).alias("k"), F.greatest(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"))
         .filter("id IS NOT NULL")
         .join(wanted.select("k"), "k", "left_semi")
         .groupBy("id")

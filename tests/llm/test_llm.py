@@ -522,3 +522,22 @@ def test_a_term_with_a_third_of_all_rows(spark, monkeypatch):
     for module in (distinctive, frequency):
         monkeypatch.setattr(module, "heavy_hashes", lambda df, c: [])
     assert scores == rows(distinctive.distinctive_terms(df, "id", "t", "off", 25_000)) and counts == rows(frequency.term_counts(df, "id", "t", "off"))
+
+
+def test_mix_of_odd_targets(spark):
+    docs = spark.createDataFrame([(1, "a", 5, "x"), (2, "a", -3, "x"), (3, "a", None, "x"), (4, "b", 5, "x")], "id long, source string, tokens long, pattern string")
+    targets = spark.createDataFrame(
+        [("a", 0.5, 2, 1), (" A", 0.9, 9, 1), ("b", float("nan"), 3, 1), ("c", None, None, 1), ("d", -1.0, -1, 1), (None, 0.5, 1, 1), ("e", float("inf"), 1, 1)], "source string, target_share double, max_repeats int, k int"
+    )
+    mix = mixing.mix_sources(docs, targets)
+    plan = {r.source: (r.tokens, r.quota, r.routed, r.short) for r in mix.plan.collect()}
+    assert plan == {" A": (5, 9, 9, False), "b": (5, 0, 0, False), **dict.fromkeys("cde", (0, 0, 0, False))}
+    assert {(r.id, r.source, r.repeats) for r in mix.chosen.collect()} >= {(1, " A", 2)}
+    assert mixing.mix_sources(docs, targets.limit(0)).chosen.count() == 0
+
+
+def test_truncation_without_headers_and_bodies(spark):
+    docs = spark.createDataFrame([(1, "Fine.\nThe river near a window kee", "a", 1), (2, "Fine.", "a", 2), (2, "Fine.", "a", 2), (3, None, None, None)], "doc_id long, text string, source string, shape int")
+    found = truncation.find_truncated(docs, headers=None, body=None)
+    assert [tuple(r) for r in found.found.collect()] == [(1, "a", "ending")]
+    assert {(r.source, r.texts, r.cut) for r in found.rates.collect()} == {("a", 3, 1), ("", 1, 0)}
