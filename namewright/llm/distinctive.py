@@ -100,9 +100,9 @@ def distinctive_terms(df: DataFrame, record: str, term: str, place: str, total:
 
     One shuffle by term, since a term's histogram and its rows are then in one
     place and no join follows. Terms with a large share of all rows, or with more
-    rows than a task should hold (skew.CEILING), are counted where they are with map-side combining and their fitted histograms, one for
-    each of the few such terms, are broadcast; their rows are shuffled by term
-    and record.
+    rows than a task should hold (skew.CEILING), are counted where they are with
+    map-side combining and their fitted histograms, one for each of the few such
+    terms, are broadcast; their rows are shuffled by term and record.
     """
     base = df.select(F.col(term).alias("term"), F.col(record).cast("long").alias("record"), F.col(place).cast("long").alias("place")).filter("record IS NOT NULL AND term IS NOT NULL")
     kind = base.schema["term"].dataType
