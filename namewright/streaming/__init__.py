@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from namewright.functions.guid import NIL
 from namewright.operators.database import summarised
 from namewright.operators.matching import KEY, tiers
-from namewright.session import cut
+from namewright.session import cut, scratch
 
 
 def name_stream(functions: DataFrame, db: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -37,6 +37,7 @@ def name_stream_by_constraints(functions: DataFrame, db: DataFrame, path: str, c
     """
     sums = cut(summarised(db))
 
+    @scratch()
     def name(batch: DataFrame, number: int) -> None:
         observed = F.explode(F.concat(F.coalesce("constraints", F.array().cast("array<string>")), F.array(F.lit(NIL)))).alias("constraint_guid")
         seen = batch.select(*KEY, F.col("guid").alias("function_guid"), observed)
