@@ -26,17 +26,27 @@ def _nil(binary: bool) -> Column:
     return F.lit(bytes(16)) if binary else F.lit(g.NIL)
 
 
-def tiers(hits: DataFrame, db: DataFrame) -> DataFrame:
+def _mask(half: int) -> Column:
+    """Half of the 128 bits that stand for the constraints of a group: a set has all bits of those it holds."""
+    hash_ = F.xxhash64("constraint_guid")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), hash_.bitwiseAND(63).cast("int"))
+    return F.bit_or(F.when(hash_.bitwiseAND(64) == 64 * half, bit).otherwise(F.lit(0).cast("long")))
+
+
+def tiers(hits: DataFrame, db: DataFrame, common: bool = True) -> DataFrame:
     """Names by tier for functions with hits(binary_id, address, function_guid, constraint_guid, n, only_symbol).
 
     Result: binary_id, address, nil_name, single_name, common_name, each null
     where the tier has none; the intersection is only taken for functions without
-    a name from the tiers before. A constraint that hits holds twice counts once.
+    a name from the tiers before, and not at all if common is false. A constraint
+    that hits holds twice counts once.
 
     GUIDs are text or 16 bytes, the same in both tables; their orders agree.
     Functions with equal GUID and equal constraints ask the same question, which
-    is answered once. Only the smallest of a question's sets is spelled out; its
-    names are then counted in the others.
+    is answered once. A question meets the names of its smallest set only, and only
+    those that may have all its constraints, by bits, leave that join; whether they
+    do is then told by what each name holds. So the pairs of questions and names of
+    their smallest sets, whose number grows faster than the tables, are never shuffled.
     """
     nil = F.col("constraint_guid") == _nil(isinstance(hits.schema["constraint_guid"].dataType, T.BinaryType))
     single = (F.col("n") == 1) & ~nil
@@ -46,13 +56,21 @@ def tiers(hits: DataFrame, db: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set(F.when(~nil, F.col("constraint_guid")))).alias("seen"),
         F.min(F.when(~nil, F.struct("n", "constraint_guid"))).alias("least"),
     )
+    if not common:
+        return asked.select(*KEY, "nil_name", "single_name", F.lit(None).cast("string").alias("common_name"))
+    asked = cut(asked)
     open_ = F.col("nil_name").isNull() & F.col("single_name").isNull() & (F.size("seen") >= 2)
-    questions = asked.filter(open_).groupBy("function_guid", "seen").agg(F.first("least.constraint_guid").alias("constraint_guid"))
-    names = questions.join(db, ["function_guid", "constraint_guid"]).select("function_guid", "seen", "symbol")
-    spread = names.select("function_guid", "seen", "symbol", F.explode("seen").alias("constraint_guid"))
-    held = spread.join(db, ["function_guid", "constraint_guid", "symbol"], "left_semi").groupBy("function_guid", "seen", "symbol").agg(F.count(F.lit(1)).alias("k"))
+    each = asked.filter(open_).groupBy("function_guid", "seen").agg(F.first("least.constraint_guid").alias("least"))
+    each = each.select("function_guid", "seen", "least", F.explode("seen").alias("constraint_guid"))
+    wanted = each.select("function_guid", "constraint_guid").distinct()
+    held = db.join(wanted, ["function_guid", "constraint_guid"], "left_semi").groupBy("function_guid", "symbol")
+    holders = cut(held.agg(F.collect_set("constraint_guid").alias("held"), _mask(0).alias("held0"), _mask(1).alias("held1")))
+    questions = each.groupBy("function_guid", "seen").agg(F.first("least").alias("constraint_guid"), _mask(0).alias("seen0"), _mask(1).alias("seen1"))
+    names = questions.join(holders.select("function_guid", "symbol", "held0", "held1", F.explode("held").alias("constraint_guid")), ["function_guid", "constraint_guid"])
+    maybe = names.filter(" AND ".join(f"seen{i} & held{i} = seen{i}" for i in (0, 1))).select("function_guid", "seen", "symbol")
     answers = (
-        held.filter(F.col("k") == F.size("seen"))
+        maybe.join(holders.select("function_guid", "symbol", "held"), ["function_guid", "symbol"])
+        .filter(F.size(F.array_except("seen", "held")) == 0)
         .groupBy("function_guid", "seen")
         .agg(F.count(F.lit(1)).alias("names"), F.min("symbol").alias("common_name"))
         .filter("names = 1")
@@ -82,7 +100,7 @@ def match(functions: DataFrame, constraints: DataFrame, calls: DataFrame, db: Da
     stay unnamed. Rounds end when one names nothing, or after max_rounds.
 
     The database is cut down to the GUIDs at hand first and its names are counted,
-    so the first two tiers never spell out a set. A round looks only at functions
+    so the first two tiers never spell out a set. A round looks only at unnamed functions
     next to newly named ones, and what it sees of them is written once: what
     earlier rounds saw stays where it was written. GUIDs travel as 16 bytes.
     """
@@ -100,11 +118,11 @@ def match(functions: DataFrame, constraints: DataFrame, calls: DataFrame, db: Da
     hits = cut(hit(static.select(*KEY, "constraint_guid").unionByName(nil)))
     ends = F.array(F.struct(F.col("caller").alias("address"), F.col("target").alias("far"), F.lit("child").alias("side")), F.struct(F.col("target").alias("address"), F.col("caller").alias("far"), F.lit("parent").alias("side")))
 
-    def seen(named: DataFrame) -> DataFrame:
-        """A row for each call edge to a named function: the constraint its name makes, and the round it was named in."""
+    def seen(named: DataFrame, near: DataFrame) -> DataFrame:
+        """A row for each call edge from near functions to a named one: the constraint its name makes, and the round it was named in."""
         far = named.select("binary_id", F.col("address").alias("far"), "round", g.symbol_calls(F.col("symbol_name")).alias("pair"))
         made = F.when(F.col("side") == "child", F.col("pair.child")).otherwise(F.col("pair.parent"))
-        return calls.select("binary_id", F.inline(ends)).join(far, ["binary_id", "far"]).select(*KEY, F.unhex(made).alias("constraint_guid"), "round")
+        return calls.select("binary_id", F.inline(ends)).join(near.select(*KEY), KEY, "left_semi").join(far, ["binary_id", "far"]).select(*KEY, F.unhex(made).alias("constraint_guid"), "round")
 
     named, fresh, round_ = None, None, 0
     while max_rounds is None or round_ < max_rounds:
@@ -112,7 +130,7 @@ def match(functions: DataFrame, constraints: DataFrame, calls: DataFrame, db: Da
         if fresh is None:
             look = hits
         else:
-            open_ = seen(fresh).select(*KEY, "constraint_guid").distinct().join(named.select(*KEY), KEY, "left_anti")
+            open_ = seen(fresh, known.join(named, KEY, "left_anti")).select(*KEY, "constraint_guid").distinct()
             new = cut(hit(open_))
             hits = hits.unionByName(new)
             look = hits.join(new.select(*KEY).distinct(), KEY, "left_semi")
@@ -129,7 +147,9 @@ def match(functions: DataFrame, constraints: DataFrame, calls: DataFrame, db: Da
 
     if named is None:
         named = functions.select(*KEY, F.lit(None).cast("string").alias("symbol_name"), F.lit(0).alias("round"), F.lit("").alias("tier")).limit(0)
-    return Matches(named, _counts(functions, static, named, seen(named), sums, round_), round_)
+    # Whatever was named in the first round has seen no names.
+    later = functions.join(named.filter("round = 1"), KEY, "left_anti")
+    return Matches(named, _counts(functions, static, named, seen(named, later), sums, round_), round_)
 
 
 def _counts(functions: DataFrame, static: DataFrame, named: DataFrame, dynamic: DataFrame, sums: DataFrame, last: int) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +18,13 @@ def small_db(spark):
     return spark.createDataFrame([(A, B, "test_value_1"), (A, B, "test_value_3"), (A, C, "test_value_1"), (A, C, "test_value_2")], "function_guid string, constraint_guid string, symbol string")
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_lookup(spark, small_db, rows):
     assert rows(database.lookup_sets(small_db, A)) == [(B, ["test_value_1", "test_value_3"]), (C, ["test_value_1", "test_value_2"])]
     assert rows(database.lookup(small_db, D)) == []
@@ -189,3 +198,36 @@ def test_scratch_is_deleted(spark):
         path = inner.inputFiles()[0].rsplit("/", 1)[0]
         assert inner.count() == 4 and session.exists(spark, path)
     assert not session.exists(spark, path) and kept.count() == 3
+
+
+def shuffled(df):
+    """Rows that the plan of df shuffles when it runs; what cut() wrote before is not in it."""
+    df.collect()
+    total, open_ = 0, [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            open_.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            open_.append(node.plan())
+        else:
+            if kind == "ShuffleExchangeExec":
+                total += node.metrics().apply("shuffleRecordsWritten").value()
+            open_ += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_intersection_shuffles_no_pairs(spark, no_broadcast):
+    # One body with 300 names; each of 12 constraints has about half of them, and 300 functions ask for four to six constraints.
+    rng = random.Random(5)
+    sets = {f"{c:032x}": {f"n{i}" for i in range(300) if rng.random() < 0.5} for c in range(1, 13)}
+    asked = {a: rng.sample(sorted(sets), rng.choice([4, 5, 6, 7, 8])) for a in range(300)}
+    db = spark.createDataFrame([(A, c, n) for c, names in sets.items() for n in names], "function_guid string, constraint_guid string, symbol string")
+    hits = spark.createDataFrame([("x", a, A, c, len(sets[c]), None) for a, cs in asked.items() for c in cs], "binary_id string, address long, function_guid string, constraint_guid string, n long, only_symbol string")
+    found = matching.tiers(hits, db)
+    expected = {a: next(iter(n)) if len(n) == 1 else None for a, cs in asked.items() for n in [set.intersection(*[sets[c] for c in cs])]}
+    assert sum(n is not None for n in expected.values()) > 20
+    assert {r.address: r.common_name for r in found.collect()} == expected
+    # A pair of a question and a name of its smallest set for each of its constraints would be some 200,000.
+    assert shuffled(found) < 40_000
