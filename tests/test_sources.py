@@ -274,6 +274,14 @@ def test_build_and_analyze(spark, folder, capsys):
     assert DatabaseBuilder(spark).build().db.count() == 0
 
 
+def test_disassembly_makes_no_guids(spark, folder, monkeypatch):
+    from namewright.operators import blocks
+
+    monkeypatch.setattr(blocks, "normalised", lambda *_: pytest.fail("GUIDs of functions nobody asked for"))
+    t = pe.tables(pe.analysed(discovery.files(spark, [str(folder[0] / "target.exe")])))
+    assert disassembly(t.instructions, t.blocks).count() > 10
+
+
 def test_command_line(spark, folder, tmp_path, capsys):
     root, _, _ = folder
     db, out = str(tmp_path / "names.fold"), str(tmp_path / "dump.json")
